@@ -158,6 +158,14 @@ def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
+def pieces(batch: pa.RecordBatch, column: int, most: int = 2 * PIECE) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of whole rows of about so many bytes of text, which bounds what tokenising takes."""
+    texts = batch.column(column)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in slices(sizes, most):
+        yield batch.slice(a, b - a)
+
+
 def chars(docs: DataFrame, text: str = "text") -> int:
     """Characters of all texts."""
     return docs.agg(F.sum(F.length(text))).first()[0] or 0

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mixing import OP4_SQL, op4_mixing
 from .simhash import op2_simhash_near_dedup
+from .substrings import op5_substring_dedup
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_mixing, op5_substring_dedup, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}
