@@ -28,7 +28,7 @@ MAX_ROWS = 20_000
 FACTORS = 8
 #: Likelihood ratio (G squared) from which a term enters.
 SCREEN = 24.0
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 
 
 @dataclass

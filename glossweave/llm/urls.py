@@ -17,6 +17,8 @@ from ._common import fresh, stored, table
 
 #: A rule holds for this share of the labelled pages that have its tokens, and for so many pages, and this share of all.
 CONFIDENCE, SUPPORT_ROWS, SUPPORT = 0.5, 5, 0.0002
+#: Likelihood ratio (G squared) of a combination and the label: among so many combinations some are pure by chance.
+EVIDENCE = 24.0
 #: Tokens of a rule, at most, beside the label: longer combinations are as good as theirs in practice, and many.
 LENGTH = 3
 _BAD = "\x01bad"
@@ -37,7 +39,15 @@ def url_tokens(url: Column) -> Column:
     return F.coalesce(tokens, F.array().cast("array<string>"))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, length: int = LENGTH) -> DataFrame:
+def _evidence(both: Column, tokens: Column, bad: int, n: int) -> Column:
+    def part(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    good, others = n - bad, F.lit(n) - tokens
+    return 2 * (part(both, tokens * bad / n) + part(tokens - both, tokens * good / n) + part(F.lit(bad) - both, others * bad / n) + part(F.lit(good) - tokens + both, others * good / n))
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, length: int = LENGTH, evidence: float = EVIDENCE) -> DataFrame:
     """(rule_id, tokens, rows, confidence) from pages (page_id, url) and labels (page_id, bad boolean).
 
     A page without a label, or with a null one, takes no part; of several labels of a page the worst counts.
@@ -58,14 +68,12 @@ def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDEN
     # all pages that have a combination's tokens, by way of the token that fewest pages have
     matched = _match(items.select(F.monotonically_increasing_id().alias("gw_row"), F.array_remove("items", F.lit(_BAD)).alias("gw_tokens")), frequent, "gw_row", "gw_tokens")
     with_all = frequent.join(matched.groupBy("tokens").agg(F.count(F.lit(1)).alias("all")), "tokens")
-    good = stored(with_all.withColumn("confidence", F.col("rows") / F.col("all")).where(F.col("confidence") >= confidence).select("tokens", "rows", "confidence"))
+    good = stored(with_all.withColumn("confidence", F.col("rows") / F.col("all")).where((F.col("confidence") >= confidence) & (F.col("confidence") > counts.bad / counts.n) & (_evidence(F.col("rows"), F.col("all"), counts.bad, counts.n) >= evidence)).select("tokens", "rows", "confidence"))
     # part of a rule that holds as well makes the rest of it superfluous
     parts = good.select(F.col("tokens").alias("short"), F.col("confidence").alias("short_confidence"))
-    key = F.element_at("tokens", 1)
     within = F.size(F.array_except("short", "tokens")) == 0
     wider = good.select(F.explode("tokens").alias("gw_first"), "tokens", "confidence").join(parts.withColumn("gw_first", F.element_at("short", 1)), "gw_first")
     redundant = wider.where(within & (F.size("short") < F.size("tokens")) & (F.col("short_confidence") >= F.col("confidence"))).select("tokens").distinct()
-    del key
     return stored(good.join(redundant, "tokens", "left_anti").select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "rows", "confidence"))
 
 
