@@ -84,7 +84,7 @@ def sentence_length_variability(tokens: DataFrame) -> DataFrame:
         F.stddev_samp("n").alias("sent_length_sd"),
         (F.stddev_samp("n") / F.avg("n")).alias("sent_length_cv"),
         F.avg(F.abs(F.col("n") - F.col("last"))).alias("sent_length_mean_change"),
-        F.when((F.count(F.lit(1)) > 2) & (F.min("n") < F.max("n")), F.nanvl(F.corr("n", "last"), F.lit(None).cast("double"))).alias("sent_length_autocorr"),
+        F.when(F.count(F.lit(1)) > 2, F.try_divide(F.covar_pop("n", "last"), F.stddev_pop(F.when(F.col("last").isNotNull(), F.col("n"))) * F.stddev_pop("last"))).alias("sent_length_autocorr"),
     )
 
 
@@ -112,6 +112,6 @@ SELECT *, char_count / nullif(word_count, 0) AS avg_word_length, word_count / nu
     + """, l AS (SELECT doc_id, sentence_id, count(*) AS n FROM tokens WHERE compte GROUP BY ALL),
   w AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY sentence_id) AS last FROM l)
 SELECT doc_id, stddev_samp(n) AS sent_length_sd, stddev_samp(n) / avg(n) AS sent_length_cv, avg(abs(n - last)) AS sent_length_mean_change,
-  CASE WHEN count(*) > 2 AND min(n) < max(n) AND (SELECT TRUE) AND stddev_pop(n) FILTER (last IS NOT NULL) > 0 AND stddev_pop(last) > 0 THEN corr(n, last) END AS sent_length_autocorr
+  CASE WHEN count(*) > 2 AND stddev_pop(n) FILTER (last IS NOT NULL) > 0 AND stddev_pop(last) > 0 THEN corr(n, last) END AS sent_length_autocorr
 FROM w GROUP BY doc_id""",
 }
