@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.annotate import annotate
-from glossweave.operators import counts, lexical
+from glossweave.operators import counts, lexical, syntax, trees
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,5 +50,14 @@ QUERIES: dict[str, Query] = {
     "lexicon_stats": on_tokens(lambda t: lexical.lexicon_stats(lexical.build_lexicon(t))),
     **{f"impute_{m}": _imputed(m) for m in lexical.METHODS if m != "skip"},
     "lexical_diversity": on_tokens(lexical.lexical_diversity),
+    "sentence_tree_stats": on_tokens(trees.sentence_tree_stats),
+    "arc_directions": on_tokens(trees.arc_directions),
+    "tree_features": on_tokens(trees.tree_features),
+    "depth_variability": on_tokens(lambda t: trees.depth_variability(trees.sentence_tree_stats(t))),
+    "crossing_arcs": on_tokens(trees.crossing_arcs),
+    "auxiliary_heads": on_tokens(lambda t: trees.child_flags(t, ("aux", "aux:pass"))),
+    "syntactic_complexity": on_tokens(syntax.syntactic_complexity),
+    "tunit_features": on_tokens(syntax.tunit_features),
+    "split_clauses": on_tokens(lambda t: syntax.split_clauses(t).select("doc_id", "sentence_id", "term_id", "is_clause_head", "clause_id")),
 }
-SQL: dict[str, str] = {**counts.SQL, **lexical.SQL}
+SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL}
