@@ -31,9 +31,13 @@ SCREEN = 24.0
 THRESHOLD = 0.3
 
 
+def short(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
 @dataclass
 class Machine:
-    """Terms (sorted hashes) with their weights and factors."""
+    """Terms (sorted hashes of 32 bits) with their weights and factors."""
 
     terms: np.ndarray
     w0: float
@@ -52,9 +56,10 @@ class Machine:
         """The distinct (row, index) of the machine's terms among the words of texts."""
         if not len(self.terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        hashes = short(hashes)
         seen = np.zeros(1 << 20, bool)
-        seen[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        maybe = np.flatnonzero(seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        seen[self.terms & np.uint32((1 << 20) - 1)] = True
+        maybe = np.flatnonzero(seen[hashes & np.uint32((1 << 20) - 1)])
         at = np.minimum(np.searchsorted(self.terms, hashes[maybe]), len(self.terms) - 1)
         hit = self.terms[at] == hashes[maybe]
         keys = distinct(row[maybe[hit]].astype(np.int64) * len(self.terms) + at[hit])
@@ -97,21 +102,19 @@ def _screened(keys: np.ndarray, row: np.ndarray, label: np.ndarray, screen: floa
     return np.flatnonzero(first | pick(near))
 
 
-def fit(rows: list[tuple[float, bytes]], factors: int = FACTORS, screen: float = SCREEN, rounds: int = 400) -> Machine:
-    """A machine for documents given as (label, packed distinct term hashes). Without both labels, one that rejects nothing."""
-    label = np.array([r[0] for r in rows], float)
-    none = Machine(np.zeros(0, np.uint64), -30.0, np.zeros(0), np.zeros((0, factors)))
+def fit(label: np.ndarray, hashes: np.ndarray, row: np.ndarray, factors: int = FACTORS, screen: float = SCREEN, rounds: int = 400) -> Machine:
+    """A machine for documents' labels and their distinct (term hash, row). Without both labels, one that rejects nothing."""
+    none = Machine(np.zeros(0, np.uint32), -30.0, np.zeros(0), np.zeros((0, factors)))
     if not len(label) or not label.any() or label.all():
         return none
-    hashes = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) // 8 for r in rows])
     all_terms = distinct(hashes.copy())
-    keys = np.searchsorted(all_terms, hashes)
+    keys = np.searchsorted(all_terms, hashes).astype(np.int32)
     chosen = _screened(keys, row, label, screen)
-    place = np.full(len(all_terms) + 1, -1)
+    place = np.full(len(all_terms) + 1, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     term = place[keys]
-    row, term = row[term >= 0], term[term >= 0]
+    held = np.flatnonzero(term >= 0)
+    row, term = row[held], term[held]
     n, m = len(label), len(chosen)
     rng = np.random.Generator(np.random.PCG64(7))
     theta = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, factors))], axis=1)
@@ -140,22 +143,27 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (piece for whole in batches for piece in pieces(whole, 1)):
         hashes, _, _, row = words(*text_buffers(pc.utf8_lower(batch.column(1))), "alnum")
         at = np.searchsorted(row, np.arange(len(batch) + 1))
-        packed = [distinct(hashes[a:b].copy()).tobytes() for a, b in zip(at[:-1], at[1:])]
+        packed = [distinct(short(hashes[a:b])).tobytes() for a, b in zip(at[:-1], at[1:])]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "terms"])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[float, bytes]]:
-    """(toxic, packed terms) of the labelled documents that the fit takes."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, term hashes and the rows of these, of the labelled documents that the fit takes: four bytes for each distinct term of a document."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("gw_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the sample is of at most max_rows short rows, whatever the size of the tables
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select(F.col("gw_label"), "text")
-    rows = found.mapInArrow(_terms, "label double, terms binary").collect()
-    return sorted((r.label, bytes(r.terms)) for r in rows)
+    rows = found.mapInArrow(_terms, "label double, terms binary").toArrow()
+    label = rows["label"].to_numpy()
+    terms = rows["terms"].combine_chunks()
+    terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) else terms
+    sizes = pc.binary_length(terms).to_numpy(zero_copy_only=False) // 4
+    hashes = np.frombuffer(b"".join(x.as_buffer() for x in terms), np.uint32)
+    return label, hashes, np.repeat(np.arange(len(label), dtype=np.int32), sizes)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Machine:
-    return fit(training_rows(docs, labels, max_rows))
+    return fit(*training_rows(docs, labels, max_rows))
 
 
 def score(machine: Machine, text: Column) -> Column:
