@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPLIT, distinct, pieces, stored, table, text_buffers, words
+from ._common import SPLIT, distinct, lean, pieces, stored, table, text_buffers, words
 
 #: Shares of the documents between which a term's frequency lies: inverse document frequencies of 2.3 and 6.9 nats.
 LOW, HIGH = 0.001, 0.1
@@ -107,7 +107,7 @@ def document_fingerprints(docs: DataFrame, low: float = LOW, high: float = HIGH,
                 columns = [pa.array([s[k] for _, s in made], pa.string()) for k in range(subsets + 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in made], pa.int32()), *columns], names=["doc_id", "n_terms", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_terms int, " + ", ".join(f"{n} string" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(run), "doc_id long, n_terms int, " + ", ".join(f"{n} string" for n in names))
 
 
 def _joined(docs: DataFrame, chosen: DataFrame, names: list[str]) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import lean, stored, table
 
 #: Tokens of a window, and open windows of a partition.
 CAPACITY, OPEN = 2048, 64
@@ -122,7 +122,7 @@ def packed_windows(docs: DataFrame, capacity: int = CAPACITY, most_open: int = O
     out, turn = [whole], 0
     while True:
         ordered = items.repartition(parts, "part").sortWithinPartitions("part", "key", "doc_ids", "starts", "lengths").select("part", "used", "doc_ids", "starts", "lengths")
-        packed = stored(ordered.mapInArrow(_packer(capacity, most_open, parts == 1), _PACKED))
+        packed = stored(ordered.mapInArrow(lean(_packer(capacity, most_open, parts == 1)), _PACKED))
         name = F.concat_ws("-", F.lit(str(turn)), F.col("part").cast("string"), F.col("number").cast("string"))
         out.append(packed.where("done").select(name.alias("window_id"), "used", "doc_ids", "starts", "lengths"))
         if parts == 1:

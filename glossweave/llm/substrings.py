@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import distinct, fresh, mix, powers, table, text_buffers, words
+from ._common import distinct, fresh, lean_table, mix, powers, table, text_buffers, words
 
 #: Words of an anchor block, and of the shortest repeat that is reported; LEAST >= 2 * BLOCK - 1 makes the search exact.
 BLOCK, LEAST = 25, 50
@@ -155,7 +155,7 @@ class Repeats:
             anchors = {p: x[0] for p, x in _cut(part[anchor], low[anchor])}
             return _table([(p, number, anchors.get(p, b""), x[0]) for p, x in _cut(part, low)], _PROBES)
 
-        return self.rows.groupBy(batch).applyInArrow(run, _PROBES)
+        return self.rows.groupBy(batch).applyInArrow(lean_table(run), _PROBES)
 
     def live(self, probes: DataFrame) -> DataFrame:
         """Of the hashes that a super-batch probed, those of an indexed block that has another occurrence."""
@@ -170,7 +170,7 @@ class Repeats:
             batches = rows["batch"].to_numpy()
             return _table([(int(batches[i]), part, x[0]) for i, x in _cut(of[found], hashes[found])], _LIVE)
 
-        return probes.repartition(self.parts, "part").groupBy("part").applyInArrow(run, _LIVE)
+        return probes.repartition(self.parts, "part").groupBy("part").applyInArrow(lean_table(run), _LIVE)
 
     def around(self, live: DataFrame) -> DataFrame:
         """The windows of ``least`` words that hold a hit."""
@@ -194,7 +194,7 @@ class Repeats:
             cut = _cut(_part(hashes, parts), hashes, at.astype(np.uint32), t.ids[row], (at - t.first[row]).astype(np.uint32))
             return _table([(p, number, *x) for p, x in cut], _AROUND)
 
-        return self.rows.groupBy(batch).cogroup(live.repartition(self.parts, "batch").groupBy("batch")).applyInArrow(run, _AROUND)
+        return self.rows.groupBy(batch).cogroup(live.repartition(self.parts, "batch").groupBy("batch")).applyInArrow(lean_table(run), _AROUND)
 
     def earlier(self, around: DataFrame) -> DataFrame:
         """For each window that occurred before, its first occurrence. One that overlaps it in the same text doesn't count."""
@@ -214,7 +214,7 @@ class Repeats:
             cut = _cut(batch[later], at[later].astype(np.uint32), ids[source], starts[source])
             return _table([(p, *x) for p, x in cut], _EARLIER)
 
-        return around.repartition(self.parts, "part").groupBy("part").applyInArrow(run, _EARLIER)
+        return around.repartition(self.parts, "part").groupBy("part").applyInArrow(lean_table(run), _EARLIER)
 
     def found(self, then, schema: T.StructType | str) -> DataFrame:
         """Applies ``then(texts, first word, words, source doc_id, source's first word, row)`` to the maximal repeats of each super-batch."""
@@ -237,7 +237,7 @@ class Repeats:
             return then(t, first, size, np.concatenate((ids[head], t.ids[t.leader[c]])), np.concatenate((starts[head], np.zeros(len(c), np.int64))), of)
 
         before = self.earlier(self.around(self.live(self.probes())))
-        return self.rows.groupBy(self.batch).cogroup(before.repartition(self.parts, "batch").groupBy("batch")).applyInArrow(run, schema)
+        return self.rows.groupBy(self.batch).cogroup(before.repartition(self.parts, "batch").groupBy("batch")).applyInArrow(lean_table(run), schema)
 
 
 def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, parts: int | None = None) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import distinct, fresh, pieces, table, text_buffers, words
+from ._common import distinct, fresh, lean, pieces, release, table, text_buffers, words
 
 #: Labelled documents used for the fit, at most.
 MAX_ROWS = 20_000
@@ -153,7 +153,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the sample is of at most max_rows short rows, whatever the size of the tables
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select(F.col("gw_label"), "text")
-    rows = found.mapInArrow(_terms, "label double, terms binary").toArrow()
+    rows = found.mapInArrow(lean(_terms), "label double, terms binary").toArrow()
     label = rows["label"].to_numpy()
     terms = rows["terms"].combine_chunks()
     terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) else terms
@@ -171,7 +171,9 @@ def score(machine: Machine, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(np.where(texts.is_null().to_numpy(zero_copy_only=False), 0.0, machine.of_texts(texts)))
+        made = np.where(texts.is_null().to_numpy(zero_copy_only=False), 0.0, machine.of_texts(texts))
+        release()
+        return pa.array(made)
 
     return run(text)
 
