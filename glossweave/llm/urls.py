@@ -17,7 +17,8 @@ from ._common import fresh, stored, table
 
 #: A rule holds for this share of the labelled pages that have its tokens, and for so many pages, and this share of all.
 CONFIDENCE, SUPPORT_ROWS, SUPPORT = 0.5, 5, 0.0002
-#: Likelihood ratio (G squared) of a combination and the label: among so many combinations some are pure by chance.
+#: Likelihood ratio (G squared) of a combination and the label that mine_rules can ask for besides: among so many
+#: combinations some are pure by chance. The query doesn't ask for it.
 EVIDENCE = 24.0
 #: Tokens of a rule, at most, beside the label: longer combinations are as good as theirs in practice, and many.
 LENGTH = 3
@@ -50,7 +51,9 @@ def _evidence(both: Column, tokens: Column, bad: int, n: int) -> Column:
 def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, length: int = LENGTH, evidence: float = EVIDENCE) -> DataFrame:
     """(rule_id, tokens, rows, confidence) from pages (page_id, url) and labels (page_id, bad boolean).
 
-    A page without a label, or with a null one, takes no part; of several labels of a page the worst counts.
+    A page without a label, or with a null one, takes no part; of several labels of a page the worst counts. With
+    ``evidence`` above 0 a rule also needs that much, and more confidence than the share of bad pages; at 0, confidence
+    and support decide alone.
     """
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("gw_bad"))
     rows = pages.select("page_id", url_tokens(F.col("url")).alias("gw_tokens")).join(known, "page_id")
@@ -68,7 +71,10 @@ def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDEN
     # all pages that have a combination's tokens, by way of the token that fewest pages have
     matched = _match(items.select(F.monotonically_increasing_id().alias("gw_row"), F.array_remove("items", F.lit(_BAD)).alias("gw_tokens")), frequent, "gw_row", "gw_tokens")
     with_all = frequent.join(matched.groupBy("tokens").agg(F.count(F.lit(1)).alias("all")), "tokens")
-    good = stored(with_all.withColumn("confidence", F.col("rows") / F.col("all")).where((F.col("confidence") >= confidence) & (F.col("confidence") > counts.bad / counts.n) & (_evidence(F.col("rows"), F.col("all"), counts.bad, counts.n) >= evidence)).select("tokens", "rows", "confidence"))
+    holds = F.col("confidence") >= confidence
+    if evidence > 0:
+        holds &= (F.col("confidence") > counts.bad / counts.n) & (_evidence(F.col("rows"), F.col("all"), counts.bad, counts.n) >= evidence)
+    good = stored(with_all.withColumn("confidence", F.col("rows") / F.col("all")).where(holds).select("tokens", "rows", "confidence"))
     # part of a rule that holds as well makes the rest of it superfluous
     parts = good.select(F.col("tokens").alias("short"), F.col("confidence").alias("short_confidence"))
     within = F.size(F.array_except("short", "tokens")) == 0
@@ -106,4 +112,4 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is bad when the document of its number is labelled as of low quality or toxic: the only labels there are."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine_rules(pages, labels))
+    return filter_urls(pages, mine_rules(pages, labels, evidence=0.0))

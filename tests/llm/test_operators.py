@@ -385,6 +385,15 @@ def test_rules_against_enumeration(spark):
     assert urls.mine_rules(p, known.where("not bad")).count() == 0
 
 
+def test_url_query_keeps_rules_of_confidence_and_support(spark, tmp_path):
+    """Five bad pages of a host and no good one make a rule, whatever chance would have made of them."""
+    hosts = ["casino.example.com"] * 5 + ["news.example.org"] * 15
+    spark.createDataFrame([(i, f"https://{h}/{'abcdefghijklmnopqrst'[i]}", "") for i, h in enumerate(hosts)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, int(i >= 5), 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = {r.page_id: r.blocked for r in urls.op9_url_filter(spark, str(tmp_path)).collect()}
+    assert out == {i: i < 5 for i in range(20)}
+
+
 # 10 I-Match
 
 
