@@ -20,8 +20,6 @@ CONFIDENCE, SUPPORT_ROWS, SUPPORT = 0.5, 5, 0.0002
 #: Likelihood ratio (G squared) of a combination and the label that mine_rules can ask for besides: among so many
 #: combinations some are pure by chance. The query doesn't ask for it.
 EVIDENCE = 24.0
-#: Tokens of a rule, at most, beside the label: longer combinations are as good as theirs in practice, and many.
-LENGTH = 3
 _BAD = "\x01bad"
 
 
@@ -48,7 +46,7 @@ def _evidence(both: Column, tokens: Column, bad: int, n: int) -> Column:
     return 2 * (part(both, tokens * bad / n) + part(tokens - both, tokens * good / n) + part(F.lit(bad) - both, others * bad / n) + part(F.lit(good) - tokens + both, others * good / n))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, length: int = LENGTH, evidence: float = EVIDENCE) -> DataFrame:
+def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, evidence: float = EVIDENCE) -> DataFrame:
     """(rule_id, tokens, rows, confidence) from pages (page_id, url) and labels (page_id, bad boolean).
 
     A page without a label, or with a null one, takes no part; of several labels of a page the worst counts. With
@@ -66,7 +64,7 @@ def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDEN
     # a rule is a combination that is frequent among the bad pages: the others don't have to be mined
     bad = items.where("gw_bad").select(F.array_remove("items", F.lit(_BAD)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / counts.bad), minConfidence=1.0).fit(bad)
-    frequent = model.freqItemsets.where(F.size("items") <= length).select(F.array_sort("items").alias("tokens"), F.col("freq").alias("rows"))
+    frequent = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("rows"))
     frequent = stored(frequent)
     # all pages that have a combination's tokens, by way of the token that fewest pages have
     matched = _match(items.select(F.monotonically_increasing_id().alias("gw_row"), F.array_remove("items", F.lit(_BAD)).alias("gw_tokens")), frequent, "gw_row", "gw_tokens")

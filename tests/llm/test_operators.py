@@ -394,6 +394,16 @@ def test_url_query_keeps_rules_of_confidence_and_support(spark, tmp_path):
     assert out == {i: i < 5 for i in range(20)}
 
 
+def test_rule_of_four_tokens(spark):
+    """Bad pages have all four tokens; each three of them are on twice as many good pages."""
+    every = ["aa", "bb", "cc", "dd"]
+    paths = [every] * 10 + [[t for t in every if t != out] for out in every for _ in range(20)]
+    pages = spark.createDataFrame([(i, f"https://x.org/{'/'.join(p)}") for i, p in enumerate(paths)], "page_id long, url string")
+    known = spark.createDataFrame([(i, i < 10) for i in range(len(paths))], "page_id long, bad boolean")
+    found = {tuple(r.tokens): (r.rows, r.confidence) for r in urls.mine_rules(pages, known).collect()}
+    assert found == {tuple(f"p:{t}" for t in every): (10, 1.0)}
+
+
 # 10 I-Match
 
 
