@@ -86,13 +86,19 @@ def frequency_spectrum(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
 METHODS = ("skip", "epsilon", "per_doc_gt", "fixed_gt", "sgt", "chao1", "chao2", "upos_gt")
 
 
-def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "fixed_gt", freq: str = "freq") -> DataFrame:
+def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "fixed_gt", freq: str = "freq", mode: str = "raw", epsilon: float | None = None) -> DataFrame:
     """Adds <column>_imputed: ``column`` where it isn't null, else an estimate for a word that the lexicon lacks.
 
     skip leaves null; epsilon takes half the least frequency. The others give the unseen words the share n1 / n of
     Good and Turing: to each word (fixed_gt); split among those of a document (per_doc_gt); among as many as a log-linear spectrum (sgt) or
     a richness estimator, by abundance (chao1) or by the documents that a word occurs in (chao2), expects; or tag by tag (upos_gt).
+
+    ``mode`` is "u" where ``column`` is per million: estimates are then too, and epsilon takes half the least value of the
+    column itself. fixed_gt and, for want of a tag, upos_gt then give n1 / n * 1e6 / n, as the reference has it.
+    ``epsilon`` is a constant to take instead.
     """
+    if mode not in ("raw", "u"):
+        raise ValueError(f"unknown mode {mode!r}, not raw or u")
     out = f"{column}_imputed"
     value = F.col(column)
     if method == "skip":
@@ -100,22 +106,28 @@ def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "f
     stats = lexicon_stats(lexicon, freq)
     with_stats = matched.crossJoin(stats)
     share = F.col("n1") / F.col("n")
-    if method == "epsilon":
+    per_u = F.lit(1e6) / F.col("n") if mode == "u" else F.lit(1.0)
+    if method == "epsilon" and epsilon is not None:
+        estimate = F.lit(float(epsilon))
+    elif method == "epsilon" and mode == "u":
+        with_stats = with_stats.crossJoin(matched.agg(F.min(value).alias("gw_least")))
+        estimate = F.col("gw_least") / 2
+    elif method == "epsilon":
         estimate = F.col("min_freq") / 2
     elif method == "fixed_gt":
-        estimate = share
+        estimate = share * per_u
     elif method == "per_doc_gt":
         missing = F.count(F.when(value.isNull(), 1)).over(W.partitionBy("doc_id"))
-        estimate = F.col("n1") / F.nullif(missing, F.lit(0))
+        estimate = F.col("n1") / F.nullif(missing, F.lit(0)) * per_u
     elif method == "chao1":
         unseen = F.when(F.col("n2") > 0, F.col("n1") * F.col("n1") / (2.0 * F.col("n2"))).otherwise(F.col("n1") * (F.col("n1") - 1) / 2.0)
-        estimate = share / F.greatest(unseen, F.lit(1.0)) * F.col("n")
+        estimate = share / F.greatest(unseen, F.lit(1.0)) * F.col("n") * per_u
     elif method == "sgt":
         spectrum = frequency_spectrum(lexicon, freq).where("r > 0")
         line = spectrum.agg(F.regr_slope(F.log("nr"), F.log("r")).alias("slope"), F.regr_intercept(F.log("nr"), F.log("r")).alias("icept"), F.count(F.lit(1)).alias("points"))
         with_stats = with_stats.crossJoin(line)
         unseen = F.greatest(F.exp(F.col("icept") + F.col("slope") * F.log(F.lit(0.5))), F.lit(1.0))
-        estimate = F.when(F.col("points") < 5, share).otherwise(share / unseen * F.col("n"))
+        estimate = F.when(F.col("points") < 5, share).otherwise(share / unseen * F.col("n")) * per_u
     elif method == "chao2":
         unknown = matched.where(value.isNull()).groupBy("lower_token").agg(F.countDistinct("doc_id").alias("docs"))
         q = unknown.agg(F.count(F.when(F.col("docs") == 1, 1)).alias("q1"), F.count(F.when(F.col("docs") == 2, 1)).alias("q2"))
@@ -123,12 +135,14 @@ def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "f
         with_stats = with_stats.crossJoin(q).crossJoin(docs)
         unseen = F.when(F.col("q2") > 0, F.col("q1") * F.col("q1") / (2.0 * F.col("q2"))).otherwise(F.col("q1") * (F.col("q1") - 1) / 2.0)
         unseen = F.greatest((F.col("n_docs") - 1) / F.col("n_docs") * unseen, F.lit(1.0))
-        estimate = share / unseen * F.col("n")
+        estimate = share / unseen * F.col("n") * per_u
     elif method == "upos_gt":
         spectrum = lexicon.groupBy("upos", F.bround(F.col(freq).cast("double")).alias("r")).agg(F.count(F.lit(1)).alias("nr"))
         per_tag = spectrum.groupBy("upos").agg(F.min_by("nr", "r").alias("n1_upos"))
+        if mode == "u":
+            per_tag = per_tag.join(lexicon.groupBy("upos").agg(F.sum(freq).alias("n_upos")), "upos")
         with_stats = with_stats.join(per_tag, "upos", "left")
-        estimate = F.coalesce(F.col("n1_upos") / F.col("n"), share)
+        estimate = F.coalesce(F.col("n1_upos") / F.col("n_upos" if mode == "u" else "n"), share) * per_u
     else:
         raise ValueError(f"unknown method {method!r}, not one of {METHODS}")
     return with_stats.withColumn(out, F.coalesce(value.cast("double"), estimate)).select(*matched.columns, out)
@@ -188,8 +202,6 @@ _IMPUTED = {
        FROM (SELECT count(DISTINCT doc_id) AS d FROM matched WHERE lex_freq_u IS NULL GROUP BY lower_token)), 1.0::DOUBLE) * n""",
     "upos_gt": "coalesce((SELECT nr FROM (SELECT upos, freq, count(*) AS nr FROM half GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY freq LIMIT 1) / n, n1 / n)",
 }
-
-
 def _diversity_sql(name: str, where: str, suffix: str, full: bool) -> str:
     simpson = f", CASE WHEN sum(f) > 1 THEN sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) END AS simpson_d{suffix}" if full else ""
     return f""", {name} AS (SELECT doc_id, count(*) / sum(f) AS ttr{suffix}, CASE WHEN sum(f) > 1 THEN (ln(sum(f)::DOUBLE) - ln(count(*)::DOUBLE)) / ln((sum(f) * sum(f))::DOUBLE) END AS maas{suffix}{simpson}

@@ -100,3 +100,14 @@ def test_moving_ttr_by_windows(spark):
         windows = [words[i : i + width] for i in range(len(words) - width + 1)]
         want = sum(len(set(x)) / width for x in windows) / len(windows)
         assert lexical.moving_ttr(t, w).first().mattr == pytest.approx(want)
+
+
+@pytest.mark.parametrize(("method", "want"), [("epsilon", 4e5), ("fixed_gt", 2 / 10 * 1e6 / 10), ("per_doc_gt", 2 / 1 * 1e6 / 10), ("chao1", 2 / 10 / 2 * 1e6), ("sgt", 2 / 10 * 1e6 / 10), ("chao2", 2 / 10 * 1e6), ("upos_gt", 2 / 10 * 1e6 / 10)])
+def test_imputed_per_million(spark, method, want):
+    """n = 10, n1 = 2, n2 = 1; every word but one of the corpus is in the lexicon."""
+    lexicon = spark.createDataFrame([("a", "NOUN", "a", 1, 1e5), ("b", "NOUN", "b", 1, 1e5), ("c", "NOUN", "c", 8, 8e5)], "token string, upos string, lemma string, freq long, freq_u double")
+    matched = lexical.match_lexicon(sentence(spark, ["c", "c", "new"], [0, 1, 1], ["NOUN"] * 3, ["root", "dep", "dep"]), lexicon)
+    out = {r.lower_token: r.lex_freq_u_imputed for r in lexical.impute(matched, lexicon, "lex_freq_u", method, mode="u").collect()}
+    assert out == pytest.approx({"c": 8e5, "new": want})
+    if method == "epsilon":
+        assert {r.lex_freq_u_imputed for r in lexical.impute(matched, lexicon, "lex_freq_u", method, mode="u", epsilon=3).collect()} == {8e5, 3.0}
