@@ -202,6 +202,15 @@ _IMPUTED = {
        FROM (SELECT count(DISTINCT doc_id) AS d FROM matched WHERE lex_freq_u IS NULL GROUP BY lower_token)), 1.0::DOUBLE) * n""",
     "upos_gt": "coalesce((SELECT nr FROM (SELECT upos, freq, count(*) AS nr FROM half GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY freq LIMIT 1) / n, n1 / n)",
 }
+#: For queries over the whole lexicon, whose column is per million.
+_WHOLE = ", half AS (SELECT * FROM lexicon)"
+_IMPUTED_U = {
+    "epsilon": "(SELECT min(lex_freq_u) FROM matched) / 2",
+    **{m: f"({_IMPUTED[m]}) * 1e6::DOUBLE / n" for m in ("fixed_gt", "per_doc_gt", "chao1", "sgt", "chao2")},
+    "upos_gt": "coalesce((SELECT nr FROM (SELECT upos, freq, count(*) AS nr FROM half GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY freq LIMIT 1) / (SELECT sum(h.freq)::DOUBLE FROM half h WHERE h.upos = matched.upos), n1 / n) * 1e6::DOUBLE / n",
+}
+
+
 def _diversity_sql(name: str, where: str, suffix: str, full: bool) -> str:
     simpson = f", CASE WHEN sum(f) > 1 THEN sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) END AS simpson_d{suffix}" if full else ""
     return f""", {name} AS (SELECT doc_id, count(*) / sum(f) AS ttr{suffix}, CASE WHEN sum(f) > 1 THEN (ln(sum(f)::DOUBLE) - ln(count(*)::DOUBLE)) / ln((sum(f) * sum(f))::DOUBLE) END AS maas{suffix}{simpson}
@@ -230,6 +239,8 @@ SELECT token, upos, lemma, freq, freq_u, TRUE FROM best WHERE k = 1 AND token NO
     "lexicon_stats": PROLOGUE + _LEXICON + """, spectrum AS (SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq)
 SELECT sum(r * nr)::BIGINT AS n, sum(nr)::BIGINT AS v, min(r) AS min_freq, (SELECT nr FROM spectrum ORDER BY r LIMIT 1) AS n1, (SELECT nr FROM spectrum ORDER BY r LIMIT 1 OFFSET 1) AS n2 FROM spectrum""",
     **{f"impute_{m}": PROLOGUE + _LEXICON + _HALF + _MATCHED + _STATS + f" SELECT doc_id, sentence_id, term_id, coalesce(lex_freq_u, {e}) AS lex_freq_u_imputed FROM matched, stats" for m, e in _IMPUTED.items()},
+    "lexical_cascade_whole": PROLOGUE + _LEXICON + _WHOLE + _MATCHED + " SELECT doc_id, sentence_id, term_id, lex_freq_u, lex_match_level FROM matched",
+    **{f"impute_{m}_whole": PROLOGUE + _LEXICON + _WHOLE + _MATCHED + _STATS + f" SELECT doc_id, sentence_id, term_id, coalesce(lex_freq_u, {e}) AS lex_freq_u_imputed FROM matched, stats" for m, e in _IMPUTED_U.items()},
     "lexical_diversity": PROLOGUE
     + _diversity_sql("a", "compte", "", True) + _mattr_sql("b", "compte", "") + _diversity_sql("c", _C, "_content", True) + _mattr_sql("d", _C, "_content") + _diversity_sql("e", "compte AND upos = 'VERB'", "_verb", False)
     + " SELECT * FROM a LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN e USING (doc_id)",

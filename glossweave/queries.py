@@ -30,6 +30,21 @@ def _matched(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lexical.match_lexicon(t, half), half
 
 
+def _matched_whole(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    whole = lexical.build_lexicon(t)
+    return lexical.match_lexicon(t, whole), whole
+
+
+def _imputed_whole(method: str) -> Query:
+    """Over the whole lexicon, in the scale of the column, which is per million."""
+
+    def query(t: DataFrame) -> DataFrame:
+        matched, whole = _matched_whole(t)
+        return lexical.impute(matched, whole, "lex_freq_u", method, mode="u").select("doc_id", "sentence_id", "term_id", "lex_freq_u_imputed")
+
+    return on_tokens(query)
+
+
 def _imputed(method: str) -> Query:
     def query(t: DataFrame) -> DataFrame:
         matched, half = _matched(t)
@@ -49,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "frequency_spectrum": on_tokens(lambda t: lexical.frequency_spectrum(lexical.build_lexicon(t))),
     "lexicon_stats": on_tokens(lambda t: lexical.lexicon_stats(lexical.build_lexicon(t))),
     **{f"impute_{m}": _imputed(m) for m in lexical.METHODS if m != "skip"},
+    "lexical_cascade_whole": on_tokens(lambda t: _matched_whole(t)[0].select("doc_id", "sentence_id", "term_id", "lex_freq_u", "lex_match_level")),
+    **{f"impute_{m}_whole": _imputed_whole(m) for m in lexical.METHODS if m != "skip"},
     "lexical_diversity": on_tokens(lexical.lexical_diversity),
     "sentence_tree_stats": on_tokens(trees.sentence_tree_stats),
     "arc_directions": on_tokens(trees.arc_directions),

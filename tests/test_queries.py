@@ -102,6 +102,11 @@ def test_moving_ttr_by_windows(spark):
         assert lexical.moving_ttr(t, w).first().mattr == pytest.approx(want)
 
 
+def test_whole_lexicon_misses_no_word():
+    """The thinned lexicon of the other lexical queries must not get into these."""
+    assert all("half AS (SELECT * FROM lexicon)" in sql and lexical.HALF not in sql for name, sql in queries.SQL.items() if name.endswith("_whole"))
+
+
 @pytest.mark.parametrize(("method", "want"), [("epsilon", 4e5), ("fixed_gt", 2 / 10 * 1e6 / 10), ("per_doc_gt", 2 / 1 * 1e6 / 10), ("chao1", 2 / 10 / 2 * 1e6), ("sgt", 2 / 10 * 1e6 / 10), ("chao2", 2 / 10 * 1e6), ("upos_gt", 2 / 10 * 1e6 / 10)])
 def test_imputed_per_million(spark, method, want):
     """n = 10, n1 = 2, n2 = 1; every word but one of the corpus is in the lexicon."""
