@@ -40,6 +40,11 @@ _MARKED = frozenset(("article", "main"))
 _ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 _ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _UNSEEN = frozenset(("head", "title", "svg", "iframe", "object", "textarea", "select"))
+#: What can stand in a head; anything else ends it. Start tags that end an open <svg>, and those that end an open <select>.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+_ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_ENDS_SELECT = frozenset(("input", "keygen", "select", "textarea"))
+_OF_TABLE = frozenset("caption table tbody td tfoot th thead tr".split())
 _WORD = re.compile(r"\w+")
 _PUNCT = re.compile(r"[.,;:!?]")
 
@@ -83,9 +88,26 @@ def leaf_blocks(page: str) -> list[Block]:
             marked -= t in _MARKED
         del tags[at:], classes[at:]
 
+    def end_unseen(name: str) -> None:
+        """Closes what a start tag ends of the unseen elements, by HTML's rules."""
+        if "head" in tags and name not in _IN_HEAD and (unseen == 1 or name == "body"):
+            close(tags.index("head"))
+        if "textarea" in tags or "iframe" in tags:
+            return
+        if "select" in tags:
+            at = tags.index("select")
+            if name in _ENDS_SELECT or (name in _OF_TABLE and "table" in tags[:at]):
+                close(at)
+        if "svg" in tags:
+            at = tags.index("svg")
+            if name in _ENDS_SVG and not any(t in ("foreignobject", "desc", "title") for t in tags[at:]):
+                close(at)
+
     for found in _TOKEN.finditer(page):
         text = found[5]
         if text is not None:
+            if unseen == 1 and tags[-1] == "head" and text.strip():
+                close(len(tags) - 1)  # text ends a head, too
             if not unseen:
                 held.append(text)
                 if "&" in text:
@@ -106,6 +128,8 @@ def leaf_blocks(page: str) -> list[Block]:
                     flush()
                 close(at)
             continue
+        if unseen:
+            end_unseen(name)
         if name in _VOID:
             if name in ("br", "hr"):
                 held.append(" ")

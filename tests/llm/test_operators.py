@@ -108,6 +108,23 @@ def test_html_awkward_rows(spark):
     assert {r.n_main for r in crf.extract_pages(pages.where("page_id in (2, 3, 4)")).collect()} == {0}
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><body><p>one</p></body>", ["one"]),
+        ("<head><title>a <b>b</b> c</title><meta x=y><p>one<p>two", ["one", "two"]),
+        ("<head><link href=x>one<p>two", ["one", "two"]),
+        ("<head><title>t<body><p>one", ["one"]),
+        ("<div><svg><path d=x><p>one</p></div>", ["one"]),
+        ("<div><svg><title>t</title><foreignObject><p>in</p></foreignObject></svg>one</div>", ["one"]),
+        ("<table><tr><td><select><option>o<td>one</table>", ["one"]),
+        ("<div><select><option>o<input>one</div>", ["one"]),
+    ],
+)
+def test_unseen_elements_left_open(page, texts):
+    assert [b.text for b in crf.leaf_blocks(page)] == texts
+
+
 # 2 SimHash
 
 
