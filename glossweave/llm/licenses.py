@@ -1,6 +1,6 @@
 """Operator 3: license scan by an exact set-similarity join of text blocks with license templates.
 
-A block (a line of a document) matches a template when it holds at least ``threshold`` of the template's distinct
+A block is a line of a document, or a run of lines over which a notice is wrapped. It matches a template when it holds at least ``threshold`` of the template's distinct
 words. With tokens in one global order, rarest first, over the documents of the whole corpus (Chaudhuri et al. 2006; PPJoin,
 Xiao et al. 2008), a template of t tokens that needs an overlap of a = ceil(threshold * t) can only match a block that
 has one of its first t - a + 1 tokens (prefix filter), that has a tokens of the templates' vocabulary at all (length
@@ -11,16 +11,26 @@ changes no result and makes the filters as sharp as they can be.
 The templates are a parameter of a few hundred words, whatever the corpus; their words are literals in the plan. No
 text is shuffled: blocks are made, filtered, joined and verified where the documents are read. Only the counts of the
 templates' own words are gathered.
+
+Lines are joined and verified so. For wrapped notices, documents of several lines that hold the threshold of a template
+as a whole are searched for the shortest runs of words that do, of which the template's length has to be the threshold's share at least; a
+run over several lines counts unless a line or a shorter run of lines within it matches by itself.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPLIT, fresh, table
+from ._common import SPLIT, fresh, lean, table
 
 THRESHOLD = 0.8
 #: Index entries up to which the templates go to every task; more are joined by Spark's choice.
@@ -47,8 +57,6 @@ TEMPLATES = {
 
 def tokens(text: str) -> list[str]:
     """Distinct words of a template, as in the blocks."""
-    import re
-
     return sorted({w for w in re.split(SPLIT, text.lower()) if w})
 
 
@@ -71,10 +79,79 @@ def vocabulary_counts(docs: DataFrame, words: list[str]) -> DataFrame:
     return _blocks(docs, block, line).select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
+def wrapped(text: str, known: dict[str, tuple[frozenset[str], int, int]]) -> list[tuple[int, str, int, float]]:
+    """(block, template, overlap, containment) of the runs of lines of a lower-cased text that match, without single lines."""
+    lines = [[w for w in re.split(SPLIT, line) if w] for line in text.split("\n")]
+    placed = [(at, w) for at, line in enumerate(lines) for w in line]
+    out = []
+    for name, (words, need, most) in known.items():
+        held = [(i, at, w) for i, (at, w) in enumerate(placed) if w in words]
+        alone: dict[int, set[str]] = {}
+        for _, at, w in held:
+            alone.setdefault(at, set()).add(w)
+        ranges = {(at, at) for at, own in alone.items() if len(own) >= need}
+        count: Counter[str] = Counter()
+        left = 0
+        for i, at, w in held:
+            count[w] += 1
+            while len(count) >= need:
+                if i - held[left][0] < most:
+                    ranges.add((held[left][1], at))
+                _less(count, held[left][2])
+                left += 1
+        end = len(lines)
+        for a, b in sorted(ranges, key=lambda r: (-r[0], r[1])):
+            if b < end:  # no other range lies within it
+                end = b
+                if a < b:
+                    overlap = _densest([x for x in held if a <= x[1] <= b], most)
+                    out.append((a, name, overlap, overlap / len(words)))
+    return out
+
+
+def _less(count: Counter[str], word: str) -> None:
+    count[word] -= 1
+    if not count[word]:
+        del count[word]
+
+
+def _densest(held: list[tuple[int, int, str]], most: int) -> int:
+    """The greatest number of different words in a run of ``most`` words."""
+    count: Counter[str] = Counter()
+    best = left = 0
+    for i, _, w in held:
+        count[w] += 1
+        while i - held[left][0] >= most:
+            _less(count, held[left][2])
+            left += 1
+        best = max(best, len(count))
+    return best
+
+
+def _wrapped_blocks(docs: DataFrame, templates: dict[str, str], threshold: float, schema: str) -> DataFrame:
+    known = {name: (frozenset(tokens(text)), required(len(tokens(text)), threshold), math.ceil(sum(1 for w in re.split(SPLIT, text.lower()) if w) / threshold)) for name, text in templates.items()}
+    text, held = (fresh(docs, x) for x in ("gw_text", "gw_held"))
+    several = docs.where(F.contains("text", F.lit("\n"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias(text))
+    vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*(t for t, _, _ in known.values())))])
+    several = several.withColumn(held, F.array_intersect(vocabulary, F.split(text, SPLIT)))
+    enough = [F.size(F.array_intersect(F.array(*[F.lit(w) for w in sorted(t)]), held)) >= need for t, need, _ in known.values()]
+    several = several.where(functools.reduce(operator.or_, enough)).select("doc_id", text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in wrapped(t, known)]
+            columns = list(zip(*found)) or [()] * 5
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "block", "template", "overlap", "containment"])
+
+    return several.mapInArrow(lean(run), schema)
+
+
 def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Every (doc_id, block, template, overlap, containment) of a block that holds ``threshold`` of a template's words.
 
-    Blocks are the lines of a document, counted from 0. Words are runs of letters and digits, in lower case, each counted
+    Blocks are the lines of a document, counted from 0, and the runs of lines that a notice is wrapped over, which have the
+    number of their first line and count the words of the run of words that has most of the template. Words are runs of letters and digits, in lower case, each counted
     once. A block may match several templates and has a row for each. Words of equal frequency are ordered by their
     letters, which has no effect on the result. Null and empty texts have no match, nor do templates without a word.
     Repeated rows match as often as they stand there. Other columns, whatever their names, have no effect.
@@ -112,7 +189,9 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     verified = found.where(enough).withColumn("gw_common", common).where(F.size("gw_common") >= F.col("gw_need"))
     # a pair meets at each common prefix word; its first common word of all is where it is reported
     first = verified.where(F.element_at("gw_common", 1) == F.col("gw_word"))
-    return first.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(block).alias("block"), "template", F.size("gw_common").alias("overlap"), (F.size("gw_common") / F.size("gw_tokens")).alias("containment"))
+    single = first.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(block).alias("block"), "template", F.size("gw_common").alias("overlap"), (F.size("gw_common") / F.size("gw_tokens")).alias("containment"))
+    whole = {name: text for name, text in (TEMPLATES if templates is None else templates).items() if name in known}
+    return single.unionByName(_wrapped_blocks(docs, whole, threshold, schema))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -198,6 +198,19 @@ def test_licenses_against_brute_force(spark, rows):
     assert licenses.license_blocks(docs.limit(0)).count() == 0 and licenses.license_blocks(docs, {"none": ""}).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """A notice at 40 columns is found where it begins; a line that matches alone isn't reported with its neighbours."""
+    import textwrap
+
+    notice = "\n".join(textwrap.wrap(licenses.TEMPLATES["mit-grant"], 40, initial_indent="# ", subsequent_indent="# "))
+    far = "Released\nunder" + "\nword" * 60 + "\nthe MIT\nLicense"
+    docs = frame(spark, [(1, f"first line\n{notice}\nlast", "a"), (2, "x\nReleased under the MIT License.\nthe license", "a"), (3, far, "a"), (4, "Released under\nthe MIT License", "a")])
+    found = {(r.doc_id, r.template): r for r in licenses.license_blocks(docs).collect()}
+    assert set(found) == {(1, "mit-grant"), (2, "mit"), (4, "mit")}
+    assert found[1, "mit-grant"].block in (1, 2) and found[1, "mit-grant"].containment >= licenses.THRESHOLD
+    assert (found[2, "mit"].block, found[4, "mit"].block, found[4, "mit"].containment) == (1, 0, 1.0)
+
+
 # 4 mixing
 
 
