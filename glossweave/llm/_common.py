@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15
@@ -60,24 +60,36 @@ def lean_table(run: Callable) -> Callable:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share: spark.checkpoint.dir. Only a single machine (tests) may have it unset, and gets a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="glossweave-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a table into the shared folder and reads it again: lineage ends, and the loss of an executor costs nothing that was done before."""
+    """Writes a table into the shared folder and reads it again: lineage ends, and the loss of an executor costs nothing that was done before.
+
+    The files go when the session ends, as what is read from them is lazy.
+    """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/glossweave-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, that is deleted when the session ends."""
+    path = f"{scratch_dir(spark)}/glossweave-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    named = jvm.org.apache.hadoop.fs.Path(path)
+    named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(named)
+    return path
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -176,12 +188,6 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.concatenate(([True], keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
-def hash_word(word: str) -> int:
-    """The hash that ``words`` gives to one word."""
-    raw = np.frombuffer(word.encode(), np.uint8)
-    return int(words(raw, np.array([0, len(raw)]), "ink")[0][0])
-
-
 def slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes sum to about ``most``; a row that is larger has a range of its own."""
     at, total = 0, np.concatenate(([0], np.cumsum(sizes)))
@@ -197,8 +203,3 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 2 * PIECE) -> Iterato
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     for a, b in slices(sizes, most):
         yield batch.slice(a, b - a)
-
-
-def chars(docs: DataFrame, text: str = "text") -> int:
-    """Characters of all texts."""
-    return docs.agg(F.sum(F.length(text))).first()[0] or 0

@@ -7,15 +7,15 @@ prunings is chosen for each bucket and query: by length, where the lengths withi
 coordinates: with a cosine of c or more, coordinate f of the vector's direction lies within
 q_f c -+ sqrt((1 - q_f**2) (1 - c**2)), which is checked for the query's largest coordinates. What is left is verified.
 
-Every vector is a query. Ranges of buckets, of falling length, meet one another pair by pair, so that each pair is a
-task; a query first meets its own range, which gives it the threshold with which it goes to the others. Its best of each
-range are merged. That all pairs of ranges meet is what an exact search with every row as a query costs; the pruning
-decides how much of a pair is computed.
+The queries are the vectors whose id is divisible by ``every``, in blocks; all vectors are searched. A query first meets
+the longest buckets, which gives it a k-th best product, and with it the length below which no vector can help it.
+Queries are then sorted by that length and cut into blocks anew, and a block meets only those ranges of buckets in which
+a vector is long enough for one of its queries: pairs of a block and a range are ruled out by two numbers, before any
+vector moves. Each pair that is left is a group of bounded size. A query's best of each range are merged.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from ._common import stored, table
 
 K = 10
+#: Queries are the vectors whose id is divisible by this.
+EVERY = 100
 #: Vectors of a bucket, and buckets of a range.
 BUCKET, RANGE = 1024, 16
 #: Coordinates that are checked, and the local threshold below which checking them isn't tried: nearly all would pass.
@@ -35,33 +37,39 @@ FOCUS, WORTH = 4, 0.8
 #: Decimal places to which products are compared: beyond it the order of summation decides.
 PLACES = 12
 
-_BLOCKS = "part int, number int, ids binary, vectors binary"
-_OWN = _BLOCKS + ", kth binary, of binary, near binary, score binary"
+_BLOCKS = "part int, number int, dim int, top double, ids binary, vectors binary, need double, kth binary"
+_MET = "id long, dim int, kth double, need double, v array<double>, near array<long>, score array<double>"
 _SCORES = "query_id long, neighbor_id long, score double"
 
 
 def _arrow(schema: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in schema.split(", "))])
 
 
-def _pack(size: int, dim: int):
-    """A range of rows (id, vector), in order, as buckets of ``size`` rows, numbered within the range."""
+def _block(part: int, number: int, ids: list, vectors: list, kth: list, need: list) -> pa.RecordBatch:
+    v = np.array(vectors)
+    top = float(np.sqrt((v * v).sum(axis=1)).max())
+    row = {"part": part, "number": number, "dim": v.shape[1], "top": top, "ids": np.array(ids, np.int64).tobytes(), "vectors": v.tobytes(), "need": float(min(need)), "kth": np.array(kth).tobytes()}
+    return pa.RecordBatch.from_pylist([row], schema=_arrow(_BLOCKS))
+
+
+def _pack(size: int):
+    """Rows (id, v, kth, need), in order, as blocks of ``size`` vectors of the same dimension, numbered within the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        ids, vectors = np.zeros(0, np.int64), np.zeros((0, dim))
-        read = iter(batches)
-        while True:
-            batch = next(read, None)
-            if batch is not None:
-                ids = np.concatenate([ids, batch.column(0).to_numpy()])
-                vectors = np.concatenate([vectors, batch.column(1).flatten().to_numpy().reshape(len(batch), dim)])
-            while len(ids) >= size or (batch is None and len(ids)):
-                yield pa.RecordBatch.from_pylist([{"part": part, "number": number, "ids": ids[:size].tobytes(), "vectors": np.ascontiguousarray(vectors[:size]).tobytes()}], schema=_arrow(_BLOCKS))
-                ids, vectors, number = ids[size:], vectors[size:], number + 1
-            if batch is None:
-                return
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        for batch in batches:
+            values, ends = batch.column(1).flatten().to_numpy(), np.concatenate(([0], np.cumsum(batch.column(1).value_lengths().to_numpy())))
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
+                if held[0] and (len(held[0]) == size or len(held[1][0]) != b - a):
+                    yield _block(part, number, *held)
+                    held, number = ([], [], [], []), number + 1
+                for column, x in zip(held, (batch.column(0)[i].as_py(), values[a:b], batch.column(2)[i].as_py(), batch.column(3)[i].as_py())):
+                    column.append(x)
+        if held[0]:
+            yield _block(part, number, *held)
 
     return run
 
@@ -133,24 +141,24 @@ def search_bucket(q_ids: np.ndarray, q: np.ndarray, q_length: np.ndarray, bucket
             best.add(by_length, bucket.ids[:upto], score)
             counts["length"] = counts.get("length", 0) + score.size
     if len(by_coordinate):
-        c = np.minimum(threshold[by_coordinate] / bound[by_coordinate], 1.0) * (1 - 1e-9)
+        c = (np.minimum(threshold[by_coordinate] / bound[by_coordinate], 1.0) * (1 - 1e-9))[:, None]
         direction = q[by_coordinate] / q_length[by_coordinate, None]
         focus = np.argsort(-np.abs(direction), axis=1, kind="stable")[:, :FOCUS]
-        for i, row in enumerate(by_coordinate):
-            left = np.arange(len(bucket.ids))
-            for f in focus[i]:
-                x = direction[i, f]
-                spread = math.sqrt(max(0.0, (1 - x * x) * (1 - c[i] * c[i]))) + 1e-9
-                value = bucket.direction[left, f]
-                low, high = -2.0 if -x >= c[i] else x * c[i] - spread, 2.0 if x >= c[i] else x * c[i] + spread
-                left = left[(value >= low) & (value <= high)]
-                if not len(left):
-                    break
-            if len(left):
-                score = products(q[row : row + 1], bucket.vectors[left])
-                score[0, bucket.ids[left] == q_ids[row]] = -np.inf
-                best.add(np.array([row]), bucket.ids[left], score)
-            counts["coordinate"] = counts.get("coordinate", 0) + len(left)
+        left = np.ones((len(by_coordinate), len(bucket.ids)), bool)
+        for f in focus.T:
+            x = np.take_along_axis(direction, f[:, None], 1)
+            spread = np.sqrt(np.maximum(0.0, (1 - x * x) * (1 - c * c))) + 1e-9
+            low, high = np.where(-x >= c, -2.0, x * c - spread), np.where(x >= c, 2.0, x * c + spread)
+            value = bucket.direction.T[f]
+            left &= (value >= low) & (value <= high)
+        left &= q_ids[by_coordinate][:, None] != bucket.ids[None]
+        rows, columns = np.nonzero(left)
+        counts["coordinate"] = counts.get("coordinate", 0) + len(rows)
+        if len(rows):
+            score = np.full(left.shape, -np.inf)
+            score[rows, columns] = np.round(np.einsum("ij,ij->i", q[by_coordinate[rows]], bucket.vectors[columns]), PLACES)
+            some = np.flatnonzero(left.any(axis=0))
+            best.add(by_coordinate, bucket.ids[some], score[:, some])
 
 
 def search(q_ids: np.ndarray, q: np.ndarray, buckets: list[Bucket], k: int, start: np.ndarray | None = None, counts: dict[str, int] | None = None) -> Best:
@@ -163,74 +171,82 @@ def search(q_ids: np.ndarray, q: np.ndarray, buckets: list[Bucket], k: int, star
     return best
 
 
-def _read(rows: pa.Table, dim: int) -> list[tuple[np.ndarray, ...]]:
-    return [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, dim), np.frombuffer(r.get("kth", b""), np.float64)) for r in sorted(rows.to_pylist(), key=lambda r: r["number"])]
-
-
-def _scores(found: list[tuple[np.ndarray, Best]]) -> pa.Table:
-    columns = [np.concatenate(c) for c in zip(*((np.repeat(ids, best.shown().sum(axis=1)), best.id[best.shown()], best.score[best.shown()]) for ids, best in found))]
-    return pa.table(columns or [[], [], []], schema=_arrow(_SCORES))
+def _read(rows: pa.Table) -> list[tuple[np.ndarray, ...]]:
+    """(ids, vectors, k-th best products) of each block of a group, all of one dimension, the longest vectors first."""
+    return [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vectors"], np.float64).reshape(-1, r["dim"]), np.frombuffer(r["kth"], np.float64)) for r in sorted(rows.to_pylist(), key=lambda r: (r["part"], r["number"]))]
 
 
-def _own(dim: int, k: int):
-    """A range with itself: its buckets, each with the k-th best products that its vectors have there."""
+def _lead(k: int):
+    """Queries with the longest buckets: what each found there, and the length that a vector needs to add to it."""
 
-    def run(rows: pa.Table) -> pa.Table:
-        read = _read(rows, dim)
-        buckets = [Bucket(*x[:2]) for x in read]
-        out = []
-        for number, (ids, vectors, _) in enumerate(read):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        buckets = [Bucket(*x[:2]) for x in _read(right)]
+        rows = []
+        for ids, vectors, _ in _read(left):
             best = search(ids, vectors, buckets, k)
-            shown = best.shown()
-            out.append({"part": rows["part"][0].as_py(), "number": number, "ids": ids.tobytes(), "vectors": vectors.tobytes(), "kth": best.threshold.tobytes()})
-            out[-1] |= {"of": np.repeat(ids, shown.sum(axis=1)).tobytes(), "near": best.id[shown].tobytes(), "score": best.score[shown].tobytes()}
-        return pa.Table.from_pylist(out, schema=_arrow(_OWN))
+            length, kth, shown = np.sqrt((vectors * vectors).sum(axis=1)), best.threshold, best.shown()
+            need = np.where((kth > 0) & (length > 0), (kth - 10.0**-PLACES) / np.where(length > 0, length, 1) * (1 - 1e-9), -1.0)
+            rows += [{"id": int(i), "dim": vectors.shape[1], "kth": float(t), "need": float(n), "v": v, "near": x[s], "score": y[s]} for i, t, n, v, x, y, s in zip(ids, kth, need, vectors, best.id, best.score, shown)]
+        return pa.Table.from_pylist(rows, schema=_arrow(_MET))
 
     return run
 
 
-def _pair(dim: int, k: int):
+def _pair(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        buckets = [Bucket(*x[:2]) for x in _read(right, dim)]
-        return _scores([(ids, search(ids, vectors, buckets, k, kth)) for ids, vectors, kth in _read(left, dim)])
+        columns: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        buckets = [Bucket(*x[:2]) for x in _read(right)]
+        for ids, vectors, kth in _read(left):
+            best = search(ids, vectors, buckets, k, kth)
+            shown = best.shown() & (best.score >= kth[:, None])
+            columns.append((np.repeat(ids, shown.sum(axis=1)), best.id[shown], best.score[shown]))
+        return pa.table([np.concatenate(c) for c in zip(*columns)], schema=_arrow(_SCORES))
 
     return run
 
 
-def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r in batch.to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(r[c], t)) for c, t in (("of", np.int64), ("near", np.int64), ("score", np.float64))], schema=_arrow(_SCORES))
-
-
-def top_k(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", bucket: int = BUCKET, buckets: int = RANGE) -> DataFrame:
-    """For each vector the ``k`` others of greatest inner product: (query_id, rank, neighbor_id, score).
+def top_k(vectors: DataFrame, k: int = K, id_column: str = "vec_id", column: str = "embedding", bucket: int = BUCKET, buckets: int = RANGE, every: int = EVERY) -> DataFrame:
+    """For each vector whose id is divisible by ``every``, the ``k`` others of greatest inner product: (query_id, rank, neighbor_id, score).
 
     Scores are rounded to 6 places; those that are equal to 12 places rank by id. Vectors that are null, empty, or hold
-    a null or a number that isn't finite, and rows of a null id take no part. All have the length of the vector of the least
-    id; others are left out. Rows that repeat an id are one vector, the least by coordinates. Copies under other
-    ids are neighbours. With fewer than k others, all are given; an empty table gives an empty result. Zero vectors take
-    part. Other columns, whatever their names, have no effect.
+    a null or a number that isn't finite, and rows of a null id take no part. Vectors of each dimension are searched
+    among their own kind, so those of a wrong one spoil nothing. Rows that repeat an id are one vector, the least by
+    coordinates. Copies under other ids are neighbours. With fewer than k others, all are given; an empty table gives an
+    empty result, as does one without a query. Zero vectors take part. Long vectors are taken whole. Other columns,
+    whatever their names, have no effect.
     """
     v = F.col(column).cast("array<double>")
     clean = vectors.select(F.col(id_column).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
-    clean = clean.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    lead = clean.agg(F.min_by(F.size("v"), "id").alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    if not lead.n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, neighbor_id long, score double")
-    dim, parts = lead.dim, max(1, -(-lead.n // (bucket * buckets)))
-    clean = clean.where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    ranged = clean.withColumn("length", length).repartitionByRange(parts, F.desc("length"), "id").sortWithinPartitions(F.desc("length"), "id").select("id", "v")
-    packed = stored(ranged.mapInArrow(_pack(bucket, dim), _BLOCKS))
-    own = stored(packed.repartition(parts, "part").groupBy("part").applyInArrow(_own(dim, k), _OWN))
-    names = packed.select("part").distinct()
-    queries = own.select(F.col("part").alias("q"), "number", "ids", "vectors", "kth").join(names.select(F.col("part").alias("b")), F.col("q") != F.col("b"))
-    others = packed.select(F.col("part").alias("b"), "number", "ids", "vectors").join(names.select(F.col("part").alias("q")), F.col("q") != F.col("b"))
-    met = queries.repartition(parts * parts, "q", "b").groupBy("q", "b").cogroup(others.repartition(parts * parts, "q", "b").groupBy("q", "b")).applyInArrow(_pair(dim, k), _SCORES)
-    scores = own.select("of", "near", "score").mapInArrow(_unpack, _SCORES).unionByName(met)
+    clean = clean.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).groupBy("id").agg(F.min("v").alias("v"))
+    clean = stored(clean.withColumns({"dim": F.size("v"), "length": F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))}))
+    asked = clean.where(F.col("id") % every == 0)
+    count = clean.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("id") % every == 0).alias("q")).first()
+    parts, q_parts = (max(1, -(-n // (bucket * buckets))) for n in (count.n, count.q))
+    none = (F.lit(float("-inf")).alias("kth"), F.lit(-1.0).alias("need"))
+
+    def packed(rows: DataFrame, n: int, *order) -> DataFrame:
+        sorted_ = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        return sorted_.select("id", "v", "kth", "need").mapInArrow(_pack(bucket), _BLOCKS)
+
+    by_length = ("dim", F.desc("length"), "id")
+    numbers = stored(packed(clean.select("*", *none), parts, *by_length))
+    place = F.row_number().over(W.partitionBy("dim").orderBy("part", "number"))
+    leading = numbers.select("dim", "part", "number").withColumn("place", place).where(F.col("place") <= buckets).drop("place")
+    lead = numbers.join(leading, ["dim", "part", "number"], "left_semi")
+    rest = numbers.join(leading, ["dim", "part", "number"], "left_anti")
+    first = stored(packed(asked.select("*", *none), q_parts, *by_length))
+    chunks = first.select("dim", F.col("part").alias("q")).distinct()
+    met = stored(first.groupBy("dim", "part").cogroup(lead.join(chunks, "dim").groupBy("dim", "q")).applyInArrow(_lead(k), _MET))
+    again = stored(packed(met, q_parts, "dim", "need", "id"))
+    blocks = again.groupBy("dim", F.col("part").alias("q")).agg(F.min("need").alias("need"))
+    ranges = rest.groupBy("dim", F.col("part").alias("b")).agg(F.max("top").alias("top"))
+    pairs = stored(blocks.join(ranges, "dim").where("top >= need").select("dim", "q", "b"))
+    left = again.join(pairs.select("dim", F.col("q").alias("part"), F.col("b").alias("other")), ["dim", "part"])
+    right = rest.join(pairs.select("dim", F.col("b").alias("part"), F.col("q").alias("asked")), ["dim", "part"])
+    later = left.groupBy("dim", "part", "other").cogroup(right.groupBy("dim", "asked", "part")).applyInArrow(_pair(k), _SCORES)
+    own = met.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "score")).alias("x")).select("query_id", F.col("x.near").alias("neighbor_id"), F.col("x.score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "neighbor_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
+    return own.unionByName(later).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
 
 
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +255,7 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-scores AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_dot_product(a.e, b.e), {PLACES}) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+scores AS (SELECT a.vec_id AS query_id, b.vec_id AS neighbor_id, round(list_dot_product(a.e, b.e), {PLACES}) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % {EVERY} = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, neighbor_id) AS rank FROM scores)
 SELECT query_id, rank::INT AS rank, neighbor_id, round(s, 6) AS score FROM ranked WHERE rank <= {K}
 """
