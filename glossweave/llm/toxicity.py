@@ -4,8 +4,8 @@ score = sigmoid(w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j) with x_i = 1
 2010). Terms are hashed, so no vocabulary is kept or joined. The pairwise part learns what additive weights can't: a
 group's name beside an insult, though neither alone decides.
 
-Training takes at most ``max_rows`` labelled documents, those of the least doc_id hashes, a bound that keeps the fit on
-one machine whatever the corpus; scoring takes all documents, whole, in one pass without a shuffle. The terms that
+Training takes at most ``max_rows`` labelled rows, those of the least hashes, a bound that keeps the fit on one machine
+whatever the corpus and however often a labelled document is repeated; scoring takes all documents, whole, in one pass without a shuffle. The terms that
 enter the machine are screened first: those that are associated with the label, and those that are associated with it
 among the documents that have one of the former, so that terms that act only together with others aren't lost.
 """
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import distinct, fresh, lean, pieces, release, table, text_buffers, words
+from ._common import distinct, fresh, lean, mix, pieces, release, table, text_buffers, words
 
 #: Labelled documents used for the fit, at most.
 MAX_ROWS = 20_000
@@ -116,21 +116,22 @@ def fit(label: np.ndarray, hashes: np.ndarray, row: np.ndarray, factors: int = F
     held = np.flatnonzero(term >= 0)
     row, term = row[held], term[held]
     n, m = len(label), len(chosen)
+    # documents of the same label and the same chosen terms, such as those with none, are one row with a weight
+    named = np.zeros(n, np.uint64)
+    np.add.at(named, row, mix(term.astype(np.uint64) + np.uint64(1)))
+    _, lead, of, weight = np.unique(named ^ mix(label.astype(np.uint64) + np.uint64(7)), return_index=True, return_inverse=True, return_counts=True)
+    held = lead[of[row]] == row
+    row, term, label, n = of[row[held]].astype(np.int64), term[held], label[lead], len(lead)
     rng = np.random.Generator(np.random.PCG64(7))
     theta = np.concatenate([np.zeros((m, 1)), rng.normal(0, 0.05, (m, factors))], axis=1)
-    rate = label.mean()
+    rate = np.average(label, weights=weight)
     w0, past0, past = float(np.log(rate / (1 - rate))), 1e-6, np.full(theta.shape, 1e-6)
     shrink = np.concatenate([[0.02], np.full(factors, 0.2)])
     machine = Machine(all_terms[chosen], w0, theta[:, 0], theta[:, 1:])
     for _ in range(rounds):
         machine.w0, machine.w, machine.v = w0, theta[:, 0], theta[:, 1:]
-        error = machine.scores(row, term, n) - label
-        slope = shrink * theta
-        slope[:, 0] += np.bincount(term, error[row], m)
-        own = np.bincount(term, error[row], m)
-        for f in range(factors):
-            total = np.bincount(row, theta[term, 1 + f], n)
-            slope[:, 1 + f] += np.bincount(term, (error * total)[row], m) - theta[:, 1 + f] * own
+        error = weight * (machine.scores(row, term, n) - label)
+        slope = shrink * theta + gradient(row, term, error, theta)
         past += slope**2
         theta = theta - 0.2 * slope / np.sqrt(past)
         past0 += error.sum() ** 2
@@ -139,21 +140,33 @@ def fit(label: np.ndarray, hashes: np.ndarray, row: np.ndarray, factors: int = F
     return machine
 
 
+def gradient(row: np.ndarray, term: np.ndarray, error: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """Slopes of the loss by the weight and the factors of each term, from the rows' errors (the slopes by their scores)."""
+    m, own = len(theta), np.bincount(term, error[row], len(theta))
+    slope = np.empty_like(theta)
+    slope[:, 0] = own
+    for f in range(1, theta.shape[1]):
+        total = np.bincount(row, theta[term, f], len(error))
+        slope[:, f] = np.bincount(term, (error * total)[row], m) - theta[:, f] * own
+    return slope
+
+
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (piece for whole in batches for piece in pieces(whole, 1)):
-        hashes, _, _, row = words(*text_buffers(pc.utf8_lower(batch.column(1))), "alnum")
+    for batch in (piece for whole in batches for piece in pieces(whole, 2)):
+        hashes, _, _, row = words(*text_buffers(pc.utf8_lower(batch.column(2))), "alnum")
         at = np.searchsorted(row, np.arange(len(batch) + 1))
         packed = [distinct(short(hashes[a:b])).tobytes() for a, b in zip(at[:-1], at[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["label", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["place", "label", "terms"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, term hashes and the rows of these, of the labelled documents that the fit takes: four bytes for each distinct term of a document."""
+    """Labels, term hashes and the rows of these, of at most ``max_rows`` labelled rows: four bytes for each distinct term of a document."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("gw_label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # the sample is of at most max_rows short rows, whatever the size of the tables
-    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select(F.col("gw_label"), "text")
-    rows = found.mapInArrow(lean(_terms), "label double, terms binary").toArrow()
+    found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select(F.xxhash64("doc_id").alias("place"), F.col("gw_label"), "text")
+    # a document may be repeated without bound: the rows are bounded after the join, too
+    rows = found.mapInArrow(lean(_terms), "place long, label double, terms binary").orderBy("place", "terms").limit(max_rows).toArrow()
     label = rows["label"].to_numpy()
     terms = rows["terms"].combine_chunks()
     terms = pa.concat_arrays(terms.chunks) if isinstance(terms, pa.ChunkedArray) else terms
@@ -181,16 +194,18 @@ def score(machine: Machine, text: Column) -> Column:
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, any others) as (doc_id, score, toxic), toxic from ``threshold`` on.
 
-    A null text scores 0, an empty one as one without terms. Labels that are null, or of documents that aren't there, have
-    no effect; of several labels of a document the greatest counts. Without labels of both kinds nothing is toxic.
-    Repeated rows score alike. Other columns, whatever their names, have no effect.
+    A null text scores 0, an empty one as one without terms, a long one by all of its terms. Labels that are null, or of
+    documents that aren't there, have no effect; of several labels of a document the greatest counts. Without labels of
+    both kinds nothing is toxic. Repeated rows score alike, and a labelled one is fitted as often as it stands there,
+    within ``max_rows`` rows in all. Empty tables give an empty result (documents) or nothing toxic (labels). Other
+    columns, whatever their names, have no effect.
     """
     scored = docs.select("doc_id", score(train(docs, labels, max_rows), F.col("text")).alias("score"))
     return scored.withColumn("toxic", F.col("score") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs``, whole, that ``toxic_documents`` doesn't call toxic."""
+    """The rows of ``docs``, whole, that ``toxic_documents`` doesn't call toxic; null and empty texts stay."""
     name = fresh(docs, "gw_score")
     return docs.withColumn(name, score(train(docs, labels, max_rows), F.col("text"))).where(F.col(name) < threshold).select(docs.columns)
 
