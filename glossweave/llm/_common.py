@@ -182,6 +182,15 @@ def words(text: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray,
     return np.concatenate(hashes), begin, np.concatenate(ends), np.searchsorted(offsets, begin, "right") - 1
 
 
+def word_starts(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of all ``ink`` words of whole texts."""
+    inked = _INK[text]
+    before = np.concatenate(([False], inked[:-1])) if len(inked) else inked
+    fresh_row = np.zeros(len(text) + 1, bool)
+    fresh_row[offsets] = True
+    return np.flatnonzero(inked & (~before | fresh_row[:-1]))
+
+
 def distinct(keys: np.ndarray) -> np.ndarray:
     """Sorted distinct values; the array is sorted in place (np.unique hashes, which is twenty times slower here)."""
     keys.sort()

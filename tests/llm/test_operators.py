@@ -298,23 +298,39 @@ def test_repeats_are_cut(docs, rows, empty):
 # 6 packing
 
 
-@pytest.mark.parametrize("rows_a_part", [7, 50_000])
-def test_packing_round_trip(docs, rows, empty, rows_a_part):
-    out = packing.packed_windows(docs, capacity=256, most_open=4, rows=rows_a_part).collect()
-    assert len({r.window_id for r in out}) >= len(out) - 2  # whole windows of rows without an id share a name
-    lengths = Counter()
+@pytest.mark.parametrize("octets", [4_000, 50_000_000])
+def test_packing_round_trip(docs, rows, empty, octets):
+    """The pieces of each document make up its text, repeated rows and rows without an id too; every window has its own id."""
+    out = packing.packed_windows(docs, capacity=256, most_open=4, octets=octets).collect()
+    assert len({r.window_id for r in out}) == len(out)
+    found = defaultdict(list)
     for r in out:
-        assert r.n_tokens == sum(r.lengths) <= 256 and r.n_docs == len(r.doc_ids) == len(r.starts)
-        for i, n in zip(r.doc_ids, r.lengths):
-            lengths[i] += n
-    want = Counter()
-    for i, t, _ in rows:
-        if t is not None:
-            want[i] += len(t.split()) + 1
-    assert lengths == want
+        assert r.n_tokens == sum(r.lengths) <= 256 and r.n_docs == len(r.doc_ids) == len(r.starts) == len(r.texts)
+        for i, at, n, t in zip(r.doc_ids, r.starts, r.lengths, r.texts):
+            assert len(t.split()) in (n, n - 1)
+            found[i, at].append((n, t))
+    want = Counter((i, t) for i, t, _ in rows if t is not None)
+    wanted = Counter()
+    for (i, t), times in want.items():
+        words = t.split()
+        starts = range(0, len(words) + 1, 256)
+        wanted.update({(i, at, min(256, len(words) + 1 - at), " ".join(words[at : at + 256])): times for at in starts})
+    assert Counter((i, at, n, " ".join(t.split())) for (i, at), x in found.items() for n, t in x) == wanted
+    long = "".join(found[306, at][0][1] for at in sorted(at for i, at in found if i == 306))
+    assert long == next(t for i, t, _ in rows if i == 306)
     assert packing.packed_windows(empty).count() == 0
 
 
+def test_packing_leftovers_are_merged(docs, rows):
+    """However many partitions the packing begins with, in the end no two windows of one round's leftovers fit together worse than best fit has it."""
+    sizes = {o: packing.packed_windows(docs, capacity=256, most_open=4, octets=o).collect() for o in (2_000, 20_000, 10**9)}
+    total = sum(len(t.split()) + 1 for _, t, _ in rows if t is not None)
+    for out in sizes.values():
+        assert sum(r.n_tokens for r in out) == total
+        # without the merge, each of the partitions would leave up to four windows open
+        assert sum(r.n_tokens < 128 for r in out) <= 8 and len(out) <= 1.15 * len(sizes[10**9])
+
+
 def test_packing_is_bounded_best_fit():
     rng = random.Random(3)
     sizes = [rng.randint(1, 100) for _ in range(500)]
