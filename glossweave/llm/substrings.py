@@ -7,8 +7,12 @@ repeats: a run of windows of ``LEAST`` words, all of which occur earlier, side b
 
 What moves: the rows once, by super-batches of texts; for the probes four bytes a word, packed into one row for each
 super-batch and index partition; twenty-four bytes a window around hits, packed too. A hit goes back to its
-super-batch as a hash, so nothing is broadcast, and no list of pairs is built: a passage in a thousand documents
-brings a thousand rows. All three uses of the shuffled rows read one exchange.
+super-batch as a hash, so nothing but the heavy texts below is broadcast, and no list of pairs is built: a passage in a
+thousand documents brings a thousand rows. All three uses of the shuffled rows read one exchange.
+
+A text whose copies would fill a super-batch by themselves is heavy. There are fewer such texts than super-batches, so
+their hashes are known everywhere: one row of each is searched, and the others, of which it is known that they repeat it
+as a whole, don't move.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import distinct, fresh, lean_table, mix, powers, table, text_buffers, words
+from ._common import distinct, fresh, lean_table, mix, powers, stored, table, text_buffers, words
 
 #: Words of an anchor block, and of the shortest repeat that is reported; LEAST >= 2 * BLOCK - 1 makes the search exact.
 BLOCK, LEAST = 25, 50
@@ -125,20 +129,52 @@ def _table(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _arrow(schema))], schema=_arrow(schema)) if rows else _arrow(schema).empty_table()
 
 
+#: What ``words`` calls a word of the kind that counts here.
+_INK_WORD = r"[^\x09-\x0d\x1c-\x20]+"
+
+
 class Repeats:
     """The steps of one search, over rows that have the batch and the text hash in columns of these names."""
 
-    def __init__(self, docs: DataFrame, block: int, least: int, parts: int | None):
+    def __init__(self, docs: DataFrame, block: int, least: int, parts: int | None, heavy: int | None = None):
         if not 0 < 2 * block - 1 <= least:
             raise ValueError("least must be 2 * block - 1 words or more")
         self.block, self.least = block, least
-        self.parts = parts or batch_count(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        octets = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.parts = parts or batch_count(octets)
         self.batch, self.th = fresh(docs, "gw_batch"), fresh(docs, "gw_th")
         th = F.xxhash64("text")
+        # at most one text for each ``heavy`` bytes of the corpus
+        fill = max(BATCH, octets // self.parts) if heavy is None else heavy
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id")))
+        n = F.regexp_count("text", F.lit(_INK_WORD))
+        sizes = docs.where(F.length("text") >= 2 * least - 1).groupBy(th.alias("gw_h")).agg(F.sum(F.octet_length("text")).alias("size"), F.count(F.lit(1)).alias("rows"), first.alias("first"))
+        self.heavy = stored(sizes.where((F.col("size") >= fill) & (F.col("rows") > 1)).select("gw_h", F.col("first.id").alias("gw_first")))
+        names = docs.columns
+        hashed = docs.withColumn(self.th, th)
+        if not self.heavy.isEmpty():
+            of, lead = fresh(hashed, "gw_of"), fresh(hashed, "gw_lead")
+            marked = hashed.join(F.broadcast(self.heavy.select(F.col("gw_h").alias(of), F.col("gw_first").alias(lead))), F.col(self.th) == F.col(of), "left")
+            leaders = marked.where(F.col(of).isNotNull() & F.col("doc_id").eqNullSafe(F.col(lead))).withColumn(lead + "_n", n)
+            row = F.first(F.struct(*[F.col(f"`{c}`") for c in names], F.col(lead + "_n").alias(lead + "_n"))).alias("gw_row")
+            one = leaders.groupBy(F.col(self.th).alias("gw_h")).agg(row)
+            # too few words to be reported: such texts are rows like any other, spread by doc_id
+            long = stored(one.where(F.col(f"gw_row.{lead}_n") >= least))
+            self.heavy = self.heavy.join(long.select("gw_h", F.col(f"gw_row.{lead}_n").cast("long").alias("gw_words")), "gw_h")
+            light = hashed.join(F.broadcast(self.heavy.select(F.col("gw_h").alias(of))), F.col(self.th) == F.col(of), "left_anti")
+            hashed = light.unionByName(long.select(*[F.col("gw_row").getField(c).alias(c) for c in names], F.col("gw_h").alias(self.th)))
         # texts that are too short for a window are spread by doc_id too: there may be very many of one
-        by = F.when(F.length("text") < 2 * least - 1, F.xxhash64("doc_id", "text")).when(F.col("text").isNull(), F.xxhash64("doc_id")).otherwise(th)
+        short = (F.length("text") < 2 * least - 1) | (F.regexp_count("text", F.lit(_INK_WORD)) < least)
+        by = F.when(F.col("text").isNull(), F.xxhash64("doc_id")).when(short, F.xxhash64("doc_id", "text")).otherwise(F.col(self.th))
         batch = F.shiftright(F.shiftrightunsigned(by, 32) * F.lit(self.parts).cast("long"), 32).cast("int")
-        self.rows = docs.withColumns({self.th: th, self.batch: batch}).repartition(self.parts, self.batch)
+        self.rows = hashed.withColumn(self.batch, batch).repartition(self.parts, self.batch)
+
+    def heavy_copies(self, docs: DataFrame) -> DataFrame:
+        """What is reported of the rows of heavy texts that aren't searched."""
+        found = docs.join(F.broadcast(self.heavy), F.xxhash64("text") == F.col("gw_h")).groupBy("gw_h", "doc_id", "gw_first", "gw_words").agg(F.count(F.lit(1)).alias("gw_n"))
+        again = F.col("gw_n") - F.col("doc_id").eqNullSafe(F.col("gw_first")).cast("long")
+        rows = found.where(again > 0).select("*", F.explode(F.sequence(F.lit(1), again.cast("int"))))
+        return rows.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("gw_words").alias("n_words"), F.col("gw_first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start"))
 
     def reader(self) -> Callable[[pa.Table], Texts]:
         return partial(Texts, doc_id="doc_id", text="text", th=self.th, block=self.block, least=self.least)
@@ -240,7 +276,7 @@ class Repeats:
         return self.rows.groupBy(self.batch).cogroup(before.repartition(self.parts, "batch").groupBy("batch")).applyInArrow(lean_table(run), schema)
 
 
-def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, parts: int | None = None) -> DataFrame:
+def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, parts: int | None = None, heavy: int | None = None) -> DataFrame:
     """Every passage of ``least`` words or more that occurs earlier, as (doc_id, start, n_words, source_doc_id, source_start).
 
     Words are what stands between ASCII white space; start counts them from 0. Occurrences are ordered by an unsigned
@@ -248,22 +284,28 @@ def repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, p
     first are reported. A passage that continues beyond what it shares with its source, along another one, is reported
     in several rows, that overlap. A passage that repeats within a text counts from where it no longer overlaps its
     first occurrence. A later copy of a whole text is reported as one passage. Null and empty texts, and those of fewer
-    words, have none. Repeated rows are copies. ``docs`` needs doc_id (an integer) and text; nothing else has an effect.
+    words, have none. Repeated rows are copies. Long texts are searched whole. An empty table gives an empty result.
+    ``docs`` needs doc_id (an integer) and text; nothing else has an effect. ``parts`` is the number of super-batches,
+    ``heavy`` the bytes from which a text's copies are kept out of them: neither changes the result.
     """
 
     def then(t: Texts, first, size, source, source_start, of) -> pa.Table:
         ids = lambda x: pa.array(x, mask=x == _NULL)
         return pa.table({"doc_id": ids(t.ids[of]), "start": first - t.first[of], "n_words": size, "source_doc_id": ids(source), "source_start": source_start})
 
-    search = Repeats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), block, least, parts)
-    return search.found(then, "doc_id long, start long, n_words long, source_doc_id long, source_start long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    search = Repeats(own, block, least, parts, heavy)
+    found = search.found(then, "doc_id long, start long, n_words long, source_doc_id long, source_start long")
+    return found if search.heavy.isEmpty() else found.unionByName(search.heavy_copies(own))
 
 
-def drop_repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, parts: int | None = None) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEAST, parts: int | None = None, heavy: int | None = None) -> DataFrame:
     """The rows of ``docs`` with the words of repeated passages (see ``repeated_passages``) cut from their texts.
 
     The white space after a passage goes with it. n_chars, if there is such a column, becomes the length of a text that
-    was cut. Rows of which nothing but white space is left are dropped; null and empty texts stay as they were.
+    was cut. Rows of which nothing but white space is left are dropped, so all but the first of a long text's copies;
+    null and empty texts stay as they were. Other columns are carried along, whatever their names. An empty table gives
+    an empty result.
     """
     names = docs.columns
 
@@ -290,7 +332,7 @@ def drop_repeated_passages(docs: DataFrame, block: int = BLOCK, least: int = LEA
             out["n_chars"] = pa.array([len(x) if c else n for x, c, n in zip(texts, cut, lengths)], out["n_chars"].type)
         return pa.table(out).filter(pa.array(~empty))
 
-    return Repeats(docs, block, least, parts).found(then, docs.schema)
+    return Repeats(docs, block, least, parts, heavy).found(then, docs.schema)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

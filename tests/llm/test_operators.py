@@ -278,8 +278,8 @@ def test_repeats_against_every_window(spark, docs, rows):
                     want[i] |= set(range(at, at + substrings.LEAST))
             else:
                 seen[key] = (place, at)
-    for parts in (1, 3):
-        got = covered(substrings.repeated_passages(own, parts=parts).collect(), None)
+    for parts, heavy in ((1, None), (3, None), (3, 1)):
+        got = covered(substrings.repeated_passages(own, parts=parts, heavy=heavy).collect(), None)
         assert got == want
     assert sum(200 <= i < 206 for i in want) == 5
 
@@ -295,6 +295,17 @@ def test_repeats_are_cut(docs, rows, empty):
     assert substrings.repeated_passages(empty).count() == 0 and substrings.drop_repeated_passages(empty).count() == 0
 
 
+def test_heavy_copies(spark, rows):
+    """A text of which there are very many copies is searched once; the result is that of searching them all."""
+    text = rows[3][1]
+    copies = [(1000 + i, text, "web") for i in range(300)] + [(1000, text, "web")] * 3 + [(None, text, "web")] * 2 + [(2000 + i, "too short to be a passage " * 5, "web") for i in range(50)]
+    docs = frame(spark, [*rows[:30], *rows[30:60], *copies])
+    plain, spread = (bag(substrings.repeated_passages(docs, parts=2, heavy=h)) for h in (None, 1))
+    assert plain == spread and sum(plain.values()) >= 305
+    left = [bag(substrings.drop_repeated_passages(docs, parts=2, heavy=h).select("doc_id", "text", "n_chars")) for h in (None, 1)]
+    assert left[0] == left[1] and sum(n for (_, t, _), n in left[0].items() if t == text) == 1
+
+
 # 6 packing
 
 
