@@ -8,9 +8,9 @@ filter), and in which, from the first common token on, both have enough tokens l
 verified. Words that no template has can add to no overlap; they are dropped from the blocks first, which
 changes no result and makes the filters as sharp as they can be.
 
-The templates are a parameter of a few hundred words, whatever the corpus; their words are literals in the plan. No
-text is shuffled: blocks are made, filtered, joined and verified where the documents are read. Only the counts of the
-templates' own words are gathered.
+The templates are a parameter of a few hundred words, whatever the corpus, that go to every task. No text is shuffled:
+words are hashed, looked up, probed and verified where the documents are read, and verification compares the words
+themselves. Only the counts of the templates' own words are gathered.
 
 Lines are joined and verified so. For wrapped notices, documents of several lines that hold the threshold of a template
 as a whole are searched for the shortest runs of words that do, of which the template's length has to be the threshold's share at least; a
@@ -19,22 +19,19 @@ run over several lines counts unless a line or a shorter run of lines within it
 
 from __future__ import annotations
 
-import functools
 import math
-import operator
 import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPLIT, fresh, lean, table
+from ._common import SPLIT, distinct, lean, pieces, table, text_buffers, words
 
 THRESHOLD = 0.8
-#: Index entries up to which the templates go to every task; more are joined by Spark's choice.
-BROADCAST_ROWS = 50_000
 #: Opening or usual notices of public licenses.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
@@ -64,19 +61,49 @@ def required(n: int, threshold: float) -> int:
     return max(1, math.ceil(threshold * n - 1e-9))
 
 
-def _blocks(docs: DataFrame, block: str, line: str) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias(block, line))
+def _hashes(vocabulary: list[str]) -> np.ndarray:
+    raw = np.frombuffer("\n".join(vocabulary).encode(), np.uint8)
+    return words(raw, np.array([0, len(raw)]), "ink")[0]
 
 
-def _block_words(line: Column) -> Column:
-    return F.split(F.lower(line), SPLIT)
+class Held:
+    """The words of a vocabulary in a batch of lower-cased texts: their ids, rows, lines (counted through the batch) and places."""
 
+    def __init__(self, texts: pa.Array, hashes: np.ndarray):
+        self.text, self.offsets = text_buffers(texts)
+        found, begin, end, row = words(self.text, self.offsets, "alnum")
+        order = np.argsort(hashes)
+        seen = np.zeros(1 << 16, bool)
+        seen[(hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
+        maybe = np.flatnonzero(seen[(found & np.uint64(0xFFFF)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(hashes[order], found[maybe]), len(hashes) - 1)
+        hit = hashes[order][at] == found[maybe]
+        maybe = maybe[hit]
+        self.word, self.row, self.place = order[at[hit]], row[maybe], maybe
+        feeds = np.flatnonzero(self.text == 10)
+        # the first line of a row is numbered beyond the last of the row before
+        self.first_line = np.searchsorted(feeds, self.offsets[:-1]) + np.arange(len(texts))
+        self.line = np.searchsorted(feeds, begin[maybe]) + self.row
 
-def vocabulary_counts(docs: DataFrame, words: list[str]) -> DataFrame:
-    """In how many blocks of the corpus each template word occurs: (word, n), for all words that occur."""
-    block, line = "gw_block", "gw_line"
-    held = F.array_intersect(F.array(*[F.lit(w) for w in words]), _block_words(F.col(line)))
-    return _blocks(docs, block, line).select(F.explode(held).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    def distinct_in(self, unit: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(unit, word), each pair once, in order."""
+        keys = distinct(unit.astype(np.int64) * n + self.word)
+        return keys // n, keys % n
+
+
+def vocabulary_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
+    """In how many lines of the corpus each template word occurs."""
+    hashes = _hashes(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(hashes), np.int64)
+        for batch in (piece for whole in batches for piece in pieces(whole, 0)):
+            held = Held(batch.column(0), hashes)
+            total += np.bincount(held.distinct_in(held.line, len(hashes))[1], minlength=len(hashes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(hashes))), pa.array(total)], names=["word", "n"])
+
+    counted = docs.where("text is not null").select(F.lower("text").alias("text")).mapInArrow(lean(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return {vocabulary[r.word]: r.n for r in counted.collect()}  # a row for each template word
 
 
 def wrapped(text: str, known: dict[str, tuple[frozenset[str], int, int]]) -> list[tuple[int, str, int, float]]:
@@ -128,23 +155,57 @@ def _densest(held: list[tuple[int, int, str]], most: int) -> int:
     return best
 
 
-def _wrapped_blocks(docs: DataFrame, templates: dict[str, str], threshold: float, schema: str) -> DataFrame:
-    known = {name: (frozenset(tokens(text)), required(len(tokens(text)), threshold), math.ceil(sum(1 for w in re.split(SPLIT, text.lower()) if w) / threshold)) for name, text in templates.items()}
-    text, held = (fresh(docs, x) for x in ("gw_text", "gw_held"))
-    several = docs.where(F.contains("text", F.lit("\n"))).select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias(text))
-    vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*(t for t, _, _ in known.values())))])
-    several = several.withColumn(held, F.array_intersect(vocabulary, F.split(text, SPLIT)))
-    enough = [F.size(F.array_intersect(F.array(*[F.lit(w) for w in sorted(t)]), held)) >= need for t, need, _ in known.values()]
-    several = several.where(functools.reduce(operator.or_, enough)).select("doc_id", text)
+def _matcher(known: dict[str, str], threshold: float, counts: dict[str, int]):
+    """The join of batches (doc_id, lower-cased text) with the templates."""
+    order = sorted({w for text in known.values() for w in tokens(text)}, key=lambda w: (counts.get(w, 0), w))
+    hashes, rank = _hashes(order), {w: i for i, w in enumerate(order)}
+    ranked = {name: sorted(rank[w] for w in tokens(text)) for name, text in known.items()}
+    need = {name: required(len(t), threshold) for name, t in ranked.items()}
+    sets = {name: frozenset(t) for name, t in ranked.items()}
+    exact = {name: (frozenset(tokens(text)), need[name], math.ceil(sum(1 for w in re.split(SPLIT, text.lower()) if w) / threshold)) for name, text in known.items()}
+    index: dict[int, list[tuple[str, int]]] = {}
+    for name, t in ranked.items():
+        for i in range(len(t) - need[name] + 1):
+            index.setdefault(t[i], []).append((name, i))
+    is_prefix = np.zeros(len(order), bool)
+    is_prefix[list(index)] = True
+
+    # words before a first common one aren't in common, as a template's words before its index are prefix words too
+    def probe(units: np.ndarray, word: np.ndarray) -> Iterator[tuple[int, str]]:
+        """(unit, template) of the sets of words that pass the prefix, length and positional filters and hold enough in common."""
+        border = np.flatnonzero(np.concatenate(([True], units[1:] != units[:-1], [True]))) if len(units) else np.zeros(1, int)
+        first = np.flatnonzero(is_prefix[word])
+        for u in np.unique(np.searchsorted(border, first, "right") - 1):
+            own = word[border[u] : border[u + 1]].tolist()
+            tried: set[str] = set()
+            for j, w in enumerate(own):
+                for name, i in index.get(w, ()):
+                    if name in tried:
+                        continue  # an earlier word in common has decided on it
+                    tried.add(name)
+                    t, least = ranked[name], need[name]
+                    if len(own) >= least and min(len(t) - i, len(own) - j) >= least and len(sets[name].intersection(own)) >= least:
+                        yield int(units[border[u]]), name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in wrapped(t, known)]
+        for batch in (piece for whole in batches for piece in pieces(whole, 1)):
+            held, found = Held(batch.column(1), hashes), []
+            for line, name in probe(*held.distinct_in(held.line, len(order))):
+                row = int(np.searchsorted(held.first_line, line, "right")) - 1
+                block = line - int(held.first_line[row])
+                own = {w for w in re.split(SPLIT, batch.column(1)[row].as_py().split("\n")[block]) if w}
+                overlap = len(exact[name][0] & own)
+                if overlap >= need[name]:
+                    found.append((row, block, name, overlap, overlap / len(sets[name])))
+            for row, name in probe(*held.distinct_in(held.row, len(order))):
+                text = batch.column(1)[row].as_py()
+                if "\n" in text:
+                    found += [(row, *x) for x in wrapped(text, {name: exact[name]})]
             columns = list(zip(*found)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "block", "template", "overlap", "containment"])
+            ids = batch.column(0).take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns[1:], (pa.int32(), pa.string(), pa.int32(), pa.float64())))], names=["doc_id", "block", "template", "overlap", "containment"])
 
-    return several.mapInArrow(lean(run), schema)
+    return run
 
 
 def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -153,45 +214,17 @@ def license_blocks(docs: DataFrame, templates: dict[str, str] | None = None, thr
     Blocks are the lines of a document, counted from 0, and the runs of lines that a notice is wrapped over, which have the
     number of their first line and count the words of the run of words that has most of the template. Words are runs of letters and digits, in lower case, each counted
     once. A block may match several templates and has a row for each. Words of equal frequency are ordered by their
-    letters, which has no effect on the result. Null and empty texts have no match, nor do templates without a word.
-    Repeated rows match as often as they stand there. Other columns, whatever their names, have no effect.
+    letters, which has no effect on the result. Null and empty texts have no match, nor do templates without a word; an
+    empty table gives an empty result. Very long texts are read whole. Repeated rows match as often as they stand there. Other columns, whatever their names, have no effect.
     """
-    spark = docs.sparkSession
-    known = {name: tokens(text) for name, text in (TEMPLATES if templates is None else templates).items()}
-    known = {name: t for name, t in known.items() if t}
+    known = {name: text for name, text in (TEMPLATES if templates is None else templates).items() if tokens(text)}
     schema = "doc_id long, block int, template string, overlap int, containment double"
     if not known:
-        return spark.createDataFrame([], schema)
-    words = sorted({w for t in known.values() for w in t})
-    counts = {r.word: r.n for r in vocabulary_counts(docs, words).collect()}  # at most a row for each template word
-    order = sorted(words, key=lambda w: (counts.get(w, 0), w))
-    rank = {w: i for i, w in enumerate(order)}
-    index = []
-    for name, t in known.items():
-        ranked = sorted(t, key=rank.__getitem__)
-        need = required(len(t), threshold)
-        index += [(ranked[i], name, i, ranked, need) for i in range(len(t) - need + 1)]
-    index_df = spark.createDataFrame(index, "gw_word string, template string, gw_i int, gw_tokens array<string>, gw_need int")
-    if len(index) <= BROADCAST_ROWS:
-        index_df = F.broadcast(index_df)
-    least = min(required(len(t), threshold) for t in known.values())
-    prefixes = sorted({x[0] for x in index}, key=rank.__getitem__)
-
-    block, line, held = (fresh(docs, x) for x in ("gw_block", "gw_line", "gw_held"))
-    lines = _blocks(docs, block, line).where(F.length(line) >= 2 * least - 1)
-    # the words that the templates have, rarest first: the order of the literal array is that of the intersection
-    blocks = lines.select("doc_id", block, F.array_intersect(F.array(*[F.lit(w) for w in order]), _block_words(F.col(line))).alias(held))
-    blocks = blocks.where((F.size(held) >= least) & F.arrays_overlap(held, F.array(*[F.lit(w) for w in prefixes])))
-    probes = blocks.select("doc_id", block, held, F.posexplode(held).alias("gw_j", "gw_word"))
-    found = probes.join(index_df, "gw_word")
-    enough = (F.size(held) >= F.col("gw_need")) & (F.least(F.size("gw_tokens") - F.col("gw_i"), F.size(held) - F.col("gw_j")) >= F.col("gw_need") - F.least("gw_i", "gw_j"))
-    common = F.array_intersect("gw_tokens", held)
-    verified = found.where(enough).withColumn("gw_common", common).where(F.size("gw_common") >= F.col("gw_need"))
-    # a pair meets at each common prefix word; its first common word of all is where it is reported
-    first = verified.where(F.element_at("gw_common", 1) == F.col("gw_word"))
-    single = first.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(block).alias("block"), "template", F.size("gw_common").alias("overlap"), (F.size("gw_common") / F.size("gw_tokens")).alias("containment"))
-    whole = {name: text for name, text in (TEMPLATES if templates is None else templates).items() if name in known}
-    return single.unionByName(_wrapped_blocks(docs, whole, threshold, schema))
+        return docs.sparkSession.createDataFrame([], schema)
+    counts = vocabulary_counts(docs, sorted({w for text in known.values() for w in tokens(text)}))
+    # lower-cased by Spark, so that every letter fares as in SQL
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
+    return texts.mapInArrow(lean(_matcher(known, threshold, counts)), schema)
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,10 @@ so. Spark's FP-growth (Han et al. 2000; in parallel, Li et al. 2008) mines the t
 "combination => bad" are kept that have the confidence and the support asked for, and no rule with part of their tokens
 does as well. A URL is blocked by the first rule all of whose tokens it has. Rules are found by an inverted index: each is
 filed under its rarest token, so that a URL meets only the rules of the tokens that it has.
+
+Tokens that stand on just the same labelled pages, such as those of a URL that is there a thousand times, would bring
+about all of their subsets, two to the power of their number. They are mined as one item, and the rules that come of
+it are then written out with each of them: the subsets left out are those that the last condition drops anyway.
 """
 
 from __future__ import annotations
@@ -20,7 +24,6 @@ CONFIDENCE, SUPPORT_ROWS, SUPPORT = 0.5, 5, 0.0002
 #: Likelihood ratio (G squared) of a combination and the label that mine_rules can ask for besides: among so many
 #: combinations some are pure by chance. The query doesn't ask for it.
 EVIDENCE = 24.0
-_BAD = "\x01bad"
 
 
 def url_tokens(url: Column) -> Column:
@@ -49,25 +52,27 @@ def _evidence(both: Column, tokens: Column, bad: int, n: int) -> Column:
 def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDENCE, support: float = SUPPORT, support_rows: int = SUPPORT_ROWS, evidence: float = EVIDENCE) -> DataFrame:
     """(rule_id, tokens, rows, confidence) from pages (page_id, url) and labels (page_id, bad boolean).
 
-    A page without a label, or with a null one, takes no part; of several labels of a page the worst counts. With
+    A page without a label, or with a null one, takes no part, nor does one whose URL is null or has no token; of several
+    labels of a page the worst counts; a page that is there twice counts twice. Very long URLs are taken whole. Of rules
+    that hold alike none is preferred: all are kept. Without a bad page, or on empty tables, there are no rules. With
     ``evidence`` above 0 a rule also needs that much, and more confidence than the share of bad pages; at 0, confidence
     and support decide alone.
     """
     known = labels.where("page_id is not null and bad is not null").groupBy("page_id").agg(F.max("bad").alias("gw_bad"))
     rows = pages.select("page_id", url_tokens(F.col("url")).alias("gw_tokens")).join(known, "page_id")
-    items = stored(rows.select("gw_bad", F.when(F.col("gw_bad"), F.array_append("gw_tokens", F.lit(_BAD))).otherwise(F.col("gw_tokens")).alias("items")).where(F.size("gw_tokens") > 0))
+    items = stored(rows.where(F.size("gw_tokens") > 0).select(F.monotonically_increasing_id().alias("gw_row"), "gw_bad", F.col("gw_tokens").alias("items")))
     counts = items.agg(F.count(F.lit(1)).alias("n"), F.count_if("gw_bad").alias("bad")).first()
     empty = "rule_id long, tokens array<string>, rows long, confidence double"
     if not counts.bad:
         return pages.sparkSession.createDataFrame([], empty)
     least = max(support_rows, support * counts.n)
+    merged, classes = _merged(items)
     # a rule is a combination that is frequent among the bad pages: the others don't have to be mined
-    bad = items.where("gw_bad").select(F.array_remove("items", F.lit(_BAD)).alias("items"))
+    bad = merged.where("gw_bad").select("items")
     model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / counts.bad), minConfidence=1.0).fit(bad)
-    frequent = model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("rows"))
-    frequent = stored(frequent)
+    frequent = stored(model.freqItemsets.select(F.array_sort("items").alias("tokens"), F.col("freq").alias("rows")))
     # all pages that have a combination's tokens, by way of the token that fewest pages have
-    matched = _match(items.select(F.monotonically_increasing_id().alias("gw_row"), F.array_remove("items", F.lit(_BAD)).alias("gw_tokens")), frequent, "gw_row", "gw_tokens")
+    matched = _match(merged.select("gw_row", F.col("items").alias("gw_tokens")), frequent, "gw_row", "gw_tokens")
     with_all = frequent.join(matched.groupBy("tokens").agg(F.count(F.lit(1)).alias("all")), "tokens")
     holds = F.col("confidence") >= confidence
     if evidence > 0:
@@ -78,7 +83,30 @@ def mine_rules(pages: DataFrame, labels: DataFrame, confidence: float = CONFIDEN
     within = F.size(F.array_except("short", "tokens")) == 0
     wider = good.select(F.explode("tokens").alias("gw_first"), "tokens", "confidence").join(parts.withColumn("gw_first", F.element_at("short", 1)), "gw_first")
     redundant = wider.where(within & (F.size("short") < F.size("tokens")) & (F.col("short_confidence") >= F.col("confidence"))).select("tokens").distinct()
-    return stored(good.join(redundant, "tokens", "left_anti").select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "rows", "confidence"))
+    rules = _written_out(good.join(redundant, "tokens", "left_anti"), classes)
+    return stored(rules.select(F.xxhash64(F.array_join("tokens", " ")).alias("rule_id"), "tokens", "rows", "confidence"))
+
+
+def _merged(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (gw_row, gw_bad, items) with one item for all tokens of the same rows, and (item, members) of those that stand for several."""
+    each = items.select("gw_row", "gw_bad", F.explode("items").alias("token"))
+    # two sums of hashes over the rows tell sets of rows apart
+    sums = [F.sum(F.xxhash64(F.lit(i), "gw_row").cast("decimal(38,0)")) for i in (1, 2)]
+    named = stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), sums[0].alias("a"), sums[1].alias("b")))
+    classes = stored(named.groupBy("n", "a", "b").agg(F.array_sort(F.collect_list("token")).alias("members")).select(F.element_at("members", 1).alias("item"), "members"))
+    several = classes.where(F.size("members") > 1)
+    dropped = several.select(F.explode(F.slice("members", 2, F.size("members") - 1)).alias("token"))
+    left = each.join(dropped, "token", "left_anti").groupBy("gw_row", "gw_bad").agg(F.array_sort(F.collect_list("token")).alias("items"))
+    return stored(left), several
+
+
+def _written_out(rules: DataFrame, classes: DataFrame) -> DataFrame:
+    """Each rule with each choice of one member for each of its items."""
+    each = rules.select("tokens", F.explode("tokens").alias("item")).join(classes, "item", "left")
+    choices = each.groupBy("tokens").agg(F.array_sort(F.collect_list(F.struct("item", F.coalesce("members", F.array("item")).alias("members")))).getField("members").alias("choices"))
+    grown = F.aggregate("choices", F.array(F.array().cast("array<string>")), lambda made, members: F.flatten(F.transform(made, lambda x: F.transform(members, lambda m: F.array_append(x, m)))))
+    out = rules.join(choices.select("tokens", grown.alias("made")), "tokens").select(F.explode("made").alias("made"), "rows", "confidence")
+    return out.select(F.array_sort("made").alias("tokens"), "rows", "confidence")
 
 
 def _match(urls: DataFrame, rules: DataFrame, key: str, tokens: str) -> DataFrame:

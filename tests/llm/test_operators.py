@@ -508,6 +508,16 @@ def test_rule_of_four_tokens(spark):
     assert found == {tuple(f"p:{t}" for t in every): (10, 1.0)}
 
 
+def test_rules_of_a_long_url_that_is_repeated(spark):
+    """Forty tokens on the same pages: a rule for each, not one for each of their subsets."""
+    long = "https://spam.example.net/" + "/".join(f"word{i}" for i in range(37))
+    pages = spark.createDataFrame([(i, long) for i in range(30)] + [(i, f"https://x.example.net/{i % 7}") for i in range(30, 90)], "page_id long, url string")
+    rules = urls.mine_rules(pages, spark.createDataFrame([(i, i < 30) for i in range(90)], "page_id long, bad boolean"), evidence=0.0).collect()
+    assert {tuple(r.tokens) for r in rules} == {("h:spam",), *((f"p:word{i}",) for i in range(37))} and {r.rows for r in rules} == {30}
+    found = urls.filter_urls(pages, urls.mine_rules(pages, spark.createDataFrame([(0, True)], "page_id long, bad boolean"))).collect()
+    assert not any(r.blocked for r in found)
+
+
 # 10 I-Match
 
 
