@@ -17,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,10 +50,49 @@ _WORD = re.compile(r"\w+")
 _PUNCT = re.compile(r"[.,;:!?]")
 
 
+_HASHED: dict[str, int] = {}
+
+
+def _feature(name: str) -> int:
+    at = _HASHED.get(name)
+    if at is None:
+        at = zlib.crc32(name.encode()) % FEATURES
+        if len(_HASHED) < 100_000:
+            _HASHED[name] = at
+    return at
+
+
+@dataclass(slots=True, frozen=True)
+class Place:
+    """What a block's features take from its ancestors. Elements share it with their children but for what they add, so a page costs as
+    much memory as it has elements, however deep they are nested."""
+
+    parent: str
+    last: tuple[str, ...]
+    depth: int
+    features: frozenset[int]
+
+    def within(self, tag: str, mark: str) -> Place:
+        if tag in _MARKED:
+            return self
+        new = {_feature("mark=" + w) for w in mark.split()[:4]}
+        outer = tag not in _INLINE
+        counted = outer and tag not in ("html", "body")
+        if counted:
+            new.add(_feature("in=" + tag))
+        features = self.features if new <= self.features else self.features | new
+        last = (*self.last, tag)[-3:] if counted else self.last
+        if features is self.features and last == self.last and not outer:
+            return self
+        return Place(tag if outer else self.parent, last, self.depth + counted, features)
+
+
+_ROOT = Place("", (), 0, frozenset())
+
+
 @dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]
-    marks: tuple[str, ...]
+    place: Place
     text: str
     linked: int
     main: bool
@@ -62,7 +102,8 @@ def leaf_blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order. Any input is taken: tags may be left open, or closed that aren't."""
     blocks: list[Block] = []
     tags: list[str] = []
-    classes: list[str] = []
+    places: list[Place] = [_ROOT]
+    open_ones: Counter[str] = Counter()
     held: list[str] = []
     linked = in_link = unseen = marked = 0
     raw_entities = False
@@ -75,8 +116,7 @@ def leaf_blocks(page: str) -> list[Block]:
                 text = entities.unescape(text)
             text = " ".join(text.split())
             if text:
-                path = tuple(t for t in tags if t not in _MARKED)
-                blocks.append(Block(path, tuple(c for c, t in zip(classes, tags) if c and t not in _MARKED), text, min(linked, len(text)), marked > 0))
+                blocks.append(Block(places[-1], text, min(linked, len(text)), marked > 0))
             held.clear()
         linked, raw_entities = 0, False
 
@@ -86,19 +126,26 @@ def leaf_blocks(page: str) -> list[Block]:
             in_link -= t == "a"
             unseen -= t in _UNSEEN
             marked -= t in _MARKED
-        del tags[at:], classes[at:]
+            open_ones[t] -= 1
+        del tags[at:], places[at + 1 :]
+
+    def last_of(name: str) -> int:
+        at = len(tags) - 1
+        while tags[at] != name:
+            at -= 1
+        return at
 
     def end_unseen(name: str) -> None:
         """Closes what a start tag ends of the unseen elements, by HTML's rules."""
-        if "head" in tags and name not in _IN_HEAD and (unseen == 1 or name == "body"):
+        if open_ones["head"] and name not in _IN_HEAD and (unseen == 1 or name == "body"):
             close(tags.index("head"))
-        if "textarea" in tags or "iframe" in tags:
+        if open_ones["textarea"] or open_ones["iframe"]:
             return
-        if "select" in tags:
+        if open_ones["select"]:
             at = tags.index("select")
             if name in _ENDS_SELECT or (name in _OF_TABLE and "table" in tags[:at]):
                 close(at)
-        if "svg" in tags:
+        if open_ones["svg"]:
             at = tags.index("svg")
             if name in _ENDS_SVG and not any(t in ("foreignobject", "desc", "title") for t in tags[at:]):
                 close(at)
@@ -120,8 +167,8 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         name = name.lower()
         if found[2]:
-            if name in tags:
-                at = len(tags) - 1 - tags[::-1].index(name)
+            if open_ones[name]:
+                at = last_of(name)
                 if name not in _INLINE or any(t not in _INLINE for t in tags[at:]):
                     if name in _INLINE:
                         continue  # it was opened outside of the block that is open now
@@ -136,16 +183,17 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if name not in _INLINE:
             flush()
-            if name in _ENDS_P and "p" in tags:
+            if name in _ENDS_P and open_ones["p"]:
                 close(tags.index("p"))
             for own in _ENDS_OWN.get(name, ()):
                 if own in tags[-3:]:
-                    close(len(tags) - 1 - tags[::-1].index(own))
+                    close(last_of(own))
             while tags and tags[-1] in _INLINE:
                 close(len(tags) - 1)
         mark = _CLASS.search(found[4]) if "=" in found[4] and name not in _INLINE else None
         tags.append(name)
-        classes.append(mark[1].lower() if mark else "")
+        open_ones[name] += 1
+        places.append(places[-1].within(name, mark[1].lower() if mark else ""))
         in_link += name == "a"
         unseen += name in _UNSEEN
         marked += name in _MARKED
@@ -155,27 +203,12 @@ def leaf_blocks(page: str) -> list[Block]:
     return blocks
 
 
-_HASHED: dict[str, int] = {}
-
-
-def _feature(name: str) -> int:
-    at = _HASHED.get(name)
-    if at is None:
-        at = zlib.crc32(name.encode()) % FEATURES
-        if len(_HASHED) < 100_000:
-            _HASHED[name] = at
-    return at
-
-
 def block_features(block: Block) -> list[int]:
     """Hashed features of a block by itself."""
-    path, text = block.path, block.text
-    outer = [t for t in path if t not in ("html", "body") and t not in _INLINE]
+    place, text = block.place, block.text
     n = len(text)
     spaces = text.count(" ") + 1
-    names = ["bias", "parent=" + (outer[-1] if outer else ""), "path=" + ">".join(outer[-3:]), f"words={min(9, spaces.bit_length())}", f"links={int(4.999 * block.linked / n)}", f"depth={min(6, len(outer))}"]
-    names += ["in=" + t for t in set(outer)]
-    names += ["mark=" + w for m in block.marks for w in m.split()[:4]]
+    names = ["bias", "parent=" + (place.last[-1] if place.last else ""), "path=" + ">".join(place.last), f"words={min(9, spaces.bit_length())}", f"links={int(4.999 * block.linked / n)}", f"depth={min(6, place.depth)}"]
     names.append(f"stops={min(4, 20 * len(_PUNCT.findall(text)) // spaces)}")
     names.append("ends" if text[-1] in ".!?" else "open")
     if not text[0].isalnum():
@@ -184,13 +217,13 @@ def block_features(block: Block) -> list[int]:
         names.append("digit")
     elif text[0].isupper():
         names.append("capital")
-    return [_feature(x) for x in names]
+    return [*(_feature(x) for x in names), *sorted(place.features)]
 
 
 def page_features(blocks: list[Block]) -> tuple[list[int], list[int]]:
     """Features of all blocks in a row, and how many each has: its own, and its neighbours' length and parent."""
     own = [block_features(b) for b in blocks]
-    short = [(min(4, (len(b.text) // 8).bit_length()), next((t for t in reversed(b.path) if t not in _INLINE), "")) for b in blocks]
+    short = [(min(4, (len(b.text) // 8).bit_length()), b.place.parent) for b in blocks]
     flat: list[int] = []
     counts: list[int] = []
     last = len(blocks) - 1
@@ -364,7 +397,7 @@ def extract_pages(pages: DataFrame, max_pages: int = MAX_PAGES, chain: Chain | N
 
     Blocks of the main text are joined by line feeds, white space within them is single. A null or empty page, or one
     without text, has no blocks and an empty text. Repeated rows fare alike. Where no page's main text is marked, nothing is taken
-    for main text. An empty table gives an empty result. Other columns, whatever their names, have no effect.
+    for main text. Very long and very deep pages are read whole, in time and memory that follow their length. An empty table gives an empty result. Other columns, whatever their names, have no effect.
     """
     model = chain or train(pages, max_pages)
 

@@ -83,6 +83,33 @@ def test_crf_beats_held_out_pages(spark):
     assert precision > 0.9 and recall > 0.9
 
 
+def test_pages_without_marks_are_decoded(spark):
+    """The held-out pages again, with the tags that mark their main text taken away: what the chain is for."""
+    import re
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").where("html is not null")
+    chain = crf.train(pages.where("page_id % 2 = 0"))
+    right = found = there = 0
+    for r in pages.where("page_id % 2 = 1").collect():
+        gold = Counter(b.text for b in crf.leaf_blocks(r.html) if b.main)
+        bare = re.sub(r"</?(article|main)\b[^>]*>", "\n", r.html, flags=re.I)
+        got = Counter(crf.extract([bare], chain)[0][2].split("\n")) if gold else Counter()
+        got.pop("", None)
+        right, found, there = right + (got & gold).total(), found + got.total(), there + gold.total()
+    assert right > 0.8 * found and right > 0.8 * there
+
+
+def test_deep_pages():
+    """Text at every one of forty thousand levels: no block has a path of its own."""
+    import time
+
+    began = time.time()
+    blocks = crf.leaf_blocks("".join(f"<div class=c{i % 7}>x{i}" for i in range(40_000)) + "</p></b></div>" * 40_000)
+    flat, counts = crf.page_features(blocks)
+    assert len(blocks) == 40_000 and len(flat) == sum(counts) < 40_000 * 30 and time.time() - began < 30
+    assert len({id(b.place.features) for b in blocks}) < 20
+
+
 def test_viterbi_and_marginals_by_enumeration():
     rng = np.random.default_rng(0)
     chain = crf.Chain(np.zeros(1), rng.normal(size=(2, 2)), rng.normal(size=2))
