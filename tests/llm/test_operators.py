@@ -595,4 +595,33 @@ def test_pipeline_stages(spark, docs):
     windows = pipeline.STAGES[-1][1](spark, at, DATA)
     packed = Counter(i for r in windows.collect() for i in r.doc_ids)
     assert set(packed) == {r.doc_id for r in at.where("text is not null").collect()}
-    assert pipeline.run(spark, DATA).count() > 0
+    texts = Counter((r.doc_id, r.text) for r in at.where("text is not null").collect())
+    pieces = defaultdict(list)
+    for r in windows.collect():
+        for i, start, text in zip(r.doc_ids, r.starts, r.texts):
+            pieces[i].append(text)
+    assert {i: sum(map(len, x)) for i, x in pieces.items()} == {i: sum(len(t) * n for (j, t), n in texts.items() if i == j) for i, _ in texts}
+
+
+def test_pipeline_end_to_end(spark):
+    """What comes out is what the stages' definitions leave of the table: no toxic text, no copy, each word of a kept text once a copy."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    windows = pipeline.run(spark, DATA).collect()
+    kept = Counter(i for r in windows for i, s in zip(r.doc_ids, r.starts) if s == 0)
+    clean = {r.doc_id for r in toxicity.toxic_documents(docs, labels).where("not toxic").collect()}
+    assert kept and set(kept) <= clean
+    copies = defaultdict(set)
+    for r in docs.where("text is not null").collect():
+        copies[" ".join(sorted(set(r.text.lower().split())))].add(r.doc_id)
+    assert all(len(set(kept) & ids) <= 1 for words, ids in copies.items() if words)
+    words = Counter(w for r in docs.where("text is not null").collect() for w in r.text.split())
+    assert {w for r in windows for t in r.texts for w in t.split()} <= set(words)
+    assert all(r.n_tokens <= packing.CAPACITY for r in windows) and sum(r.n_tokens == packing.CAPACITY or r.n_tokens > 1500 for r in windows) >= len(windows) - 20
+
+
+def test_pipeline_of_no_documents(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
