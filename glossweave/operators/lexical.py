@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from glossweave.annotate import PROLOGUE
+from glossweave.annotate import PROLOGUE, prologue
 
 LEVELS = ("exact", "token_only", "lemma_to_token", "token_to_lemma", "lemma_to_lemma")
 DIVERSITY_CONTENT = ("NOUN", "VERB", "ADJ", "ADV")
@@ -20,10 +20,11 @@ def build_lexicon(tokens: DataFrame) -> DataFrame:
     return counts.crossJoin(counts.agg(F.sum("freq").alias("n"))).select("token", "upos", "lemma", "freq", (F.col("freq") * 1e6 / F.col("n")).alias("freq_u"))
 
 
-def expand_plurals(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
+def expand_plurals(lexicon: DataFrame, freq: str = "freq_u") -> DataFrame:
     """The lexicon with regular plurals (-s, -x, -eau to -eaux, -al to -aux) of its tokens that it doesn't have.
 
-    Of several sources of one plural the one whose rule comes first counts, of these the more frequent.
+    Of several tokens that would have the same plural the one whose rule comes first is its source, of these the first
+    by letters; all of the source's rows are carried over, one a tag, the one of the highest frequency.
     """
     t = F.col("token")
     rules = F.array(
@@ -32,51 +33,71 @@ def expand_plurals(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
         F.struct(F.lit(3).alias("rule"), F.regexp_replace(t, "eau$", "eaux").alias("plural")),
         F.struct(F.lit(4).alias("rule"), F.regexp_replace(t, "al$", "aux").alias("plural")),
     )
-    made = lexicon.withColumn("r", F.explode(rules)).where(F.col("r.plural") != t)
-    rank = F.row_number().over(W.partitionBy("r.plural", "upos").orderBy("r.rule", F.desc(freq), "token"))
-    best = made.withColumn("gw_rank", rank).where("gw_rank = 1").drop("gw_rank", "token").withColumn("token", F.col("r.plural")).drop("r")
-    new = best.join(lexicon.select("token").distinct(), "token", "left_anti")
-    return lexicon.withColumn("is_generated_plural", F.lit(False)).unionByName(new.withColumn("is_generated_plural", F.lit(True)))
+    made = lexicon.select("token", F.explode(rules).alias("r")).where(F.col("r.plural") != t)
+    sources = made.groupBy("r.plural").agg(F.min_by("token", F.struct("r.rule", "token")).alias("token"))
+    new = sources.join(lexicon.select(F.col("token").alias("plural")).distinct(), "plural", "left_anti").join(lexicon, "token")
+    keys = ["plural", "upos"] if "upos" in lexicon.columns else ["plural"]
+    others = [c for c in lexicon.columns if c not in ("token", "upos")]
+    row = F.max_by(F.struct(*others), F.struct(freq, *[c for c in others if c != freq]))
+    best = new.groupBy(*keys).agg(row.alias("row")).select(F.col("plural").alias("token"), *keys[1:], "row.*")
+    return lexicon.withColumn("is_generated_plural", F.lit(False)).unionByName(best.withColumn("is_generated_plural", F.lit(True)))
 
 
-def _keyed(lexicon: DataFrame, keys: list[str], freq: str, level: str) -> DataFrame:
-    """The row of the highest frequency for each key."""
-    row = F.max_by(F.struct(freq), F.struct(F.col(freq)))
-    return lexicon.where(functools.reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))).groupBy(*[F.lower(k).alias(f"{level}_{k}") for k in keys]).agg(row.getField(freq).alias(level))
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 
-def match_lexicon(tokens: DataFrame, lexicon: DataFrame, freq: str = "freq_u", prefix: str = "lex") -> DataFrame:
-    """Adds <prefix>_<freq> and <prefix>_match_level by the first of five lookups that succeeds.
+def unaccented(c: Column) -> Column:
+    """Lower case without accents; ligatures as their two letters."""
+    return F.replace(F.replace(F.translate(F.lower(c), _ACCENTED, _PLAIN), F.lit("œ"), F.lit("oe")), F.lit("æ"), F.lit("ae"))
 
-    They are (token, tag), token, lemma as token, token as lemma, lemma as lemma, all in lower case; of several entries
-    for a key the most frequent counts. The lexicon is brought to one row a key first, so that five equi-joins and a
-    coalesce do it: no row is looked up twice or multiplied.
+
+def match_lexicon(tokens: DataFrame, lexicon: DataFrame, freq: str = "freq_u", prefix: str = "lex", token: str = "lower_token", strip_accents: bool = False) -> DataFrame:
+    """Adds the lexicon's columns, as <prefix>_<column>, and <prefix>_match_level, by the first of five lookups that succeeds.
+
+    They are (token, tag), token, lemma as token, token as lemma, lemma as lemma, all in lower case, without accents if
+    ``strip_accents``; of several entries for a key the most frequent counts, then the greatest by its other columns.
+    The lookups are made once for each type (token, lemma, tag) of the corpus, not for each token, and the lexicon is
+    brought to one row a key first: no row is looked up twice or multiplied.
     """
+    bare = unaccented if strip_accents else F.lower
     sides = {
-        "exact": (["token", "upos"], ["lower_token", "upos"]),
-        "token_only": (["token"], ["lower_token"]),
+        "exact": (["token", "upos"], [token, "upos"]),
+        "token_only": (["token"], [token]),
         "lemma_to_token": (["token"], ["lemma"]),
-        "token_to_lemma": (["lemma"], ["lower_token"]),
+        "token_to_lemma": (["lemma"], [token]),
         "lemma_to_lemma": (["lemma"], ["lemma"]),
     }
-    out = tokens
+    sides = {level: side for level, side in sides.items() if all(k in lexicon.columns for k in side[0])}
+    row = F.max(F.struct(F.col(freq).alias("gw_order"), *[F.col(c).alias(c) for c in lexicon.columns]))
+    types = tokens.select(F.col(token).alias("t_token"), F.col("lemma").alias("t_lemma"), F.col("upos").alias("t_upos")).distinct()
+    out = types
     for level, (keys, own) in sides.items():
-        side = _keyed(lexicon, keys, freq, level)
-        on = functools.reduce(lambda a, b: a & b, ((F.lower(F.col(o)) if o != "upos" else F.lower("upos")) == F.col(f"{level}_{k}") for k, o in zip(keys, own)))
-        out = out.join(side, on, "left").drop(*[f"{level}_{k}" for k in keys])
+        side = lexicon.where(F.col(freq).isNotNull()).groupBy(*[bare(F.col(k)).alias(f"k_{k}") for k in keys]).agg(row.alias(level))
+        names = {token: "t_token", "lemma": "t_lemma", "upos": "t_upos"}
+        on = functools.reduce(lambda a, b: a & b, (bare(F.col(names[o])) == F.col(f"k_{k}") for k, o in zip(keys, own)))
+        out = out.join(side, on, "left").drop(*[f"k_{k}" for k in keys])
     level = F.lit("none")
-    for name in reversed(LEVELS):
+    for name in reversed(sides):
         level = F.when(F.col(name).isNotNull(), name).otherwise(level)
-    return out.withColumns({f"{prefix}_{freq}": F.coalesce(*LEVELS), f"{prefix}_match_level": level}).drop(*LEVELS)
+    found = out.select("t_token", "t_lemma", "t_upos", F.coalesce(*sides).alias("gw_row"), level.alias(f"{prefix}_match_level"))
+    joined = tokens.join(found, F.col(token).eqNullSafe(F.col("t_token")) & F.col("lemma").eqNullSafe(F.col("t_lemma")) & F.col("upos").eqNullSafe(F.col("t_upos")), "left")
+    added = [F.col(f"gw_row.{c}").alias(f"{prefix}_{c}") for c in lexicon.columns]
+    return joined.select(*[tokens[c] for c in tokens.columns], *added, f"{prefix}_match_level")
 
 
-def lexicon_stats(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
-    """One row: n (total), v (entries), min_freq, n1 and n2, the numbers of entries of the two lowest rounded frequencies."""
-    spectrum = lexicon.where(F.col(freq).isNotNull()).groupBy(F.bround(F.col(freq).cast("double")).alias("r")).agg(F.count(F.lit(1)).alias("nr"), F.sum(freq).alias("total"), F.min(freq).alias("least"))
+def lexicon_stats(lexicon: DataFrame, freq: str = "freq", by_upos: bool = False) -> DataFrame:
+    """n (total), v (entries), min_freq, n1 and n2, the numbers of entries of the two lowest rounded frequencies: one row, or one a tag.
+
+    Without a column ``freq``, freq_u * 1e6 stands for it.
+    """
+    value = F.col(freq) if freq in lexicon.columns else F.col("freq_u") * 1e6
+    keys = ["upos"] if by_upos else []
+    rows = lexicon.where("upos is not null") if by_upos else lexicon
+    spectrum = rows.select(*keys, value.alias("f")).groupBy(*keys, F.bround(F.col("f").cast("double")).alias("r")).agg(F.count(F.lit(1)).alias("rows"), F.count("f").alias("nr"), F.sum("f").alias("total"), F.min("f").alias("least"))
     # the spectrum has as many rows as there are different frequencies
-    two = F.slice(F.array_sort(F.collect_list(F.struct("r", "nr"))), 1, 2)
-    one = spectrum.agg(F.sum("total").alias("n"), F.sum("nr").alias("v"), F.min("least").alias("min_freq"), two.alias("two"))
-    return one.select("n", "v", "min_freq", F.get("two", F.lit(0)).getField("nr").alias("n1"), F.coalesce(F.get("two", F.lit(1)).getField("nr"), F.lit(0)).alias("n2"))
+    two = F.slice(F.array_sort(F.collect_list(F.when(F.col("r").isNotNull(), F.struct("r", "nr")))), 1, 2)
+    one = spectrum.groupBy(*keys).agg(F.sum("total").alias("n"), F.sum("rows").alias("v"), F.min("least").alias("min_freq"), two.alias("two"))
+    return one.select(*keys, "n", "v", "min_freq", F.coalesce(F.get("two", F.lit(0)).getField("nr"), F.lit(0)).alias("n1"), F.coalesce(F.get("two", F.lit(1)).getField("nr"), F.lit(0)).alias("n2"))
 
 
 def frequency_spectrum(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
@@ -86,162 +107,190 @@ def frequency_spectrum(lexicon: DataFrame, freq: str = "freq") -> DataFrame:
 METHODS = ("skip", "epsilon", "per_doc_gt", "fixed_gt", "sgt", "chao1", "chao2", "upos_gt")
 
 
-def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "fixed_gt", freq: str = "freq", mode: str = "raw", epsilon: float | None = None) -> DataFrame:
+def impute(matched: DataFrame, lexicon: DataFrame, column: str, method: str = "fixed_gt", freq: str = "freq", mode: str = "raw", epsilon: float | None = None, n: float | None = None, n1: float | None = None) -> DataFrame:
     """Adds <column>_imputed: ``column`` where it isn't null, else an estimate for a word that the lexicon lacks.
 
-    skip leaves null; epsilon takes half the least frequency. The others give the unseen words the share n1 / n of
-    Good and Turing: to each word (fixed_gt); split among those of a document (per_doc_gt); among as many as a log-linear spectrum (sgt) or
-    a richness estimator, by abundance (chao1) or by the documents that a word occurs in (chao2), expects; or tag by tag (upos_gt).
+    skip leaves null; epsilon takes half the least value of the column, or a constant. The others give the unseen words
+    the share n1 / n of Good and Turing: to each word (fixed_gt); split among those of a document (per_doc_gt); among as
+    many as a log-linear spectrum (sgt) or a richness estimator, by abundance (chao1) or by the documents that a word
+    occurs in (chao2), expects; or tag by tag (upos_gt).
 
-    ``mode`` is "u" where ``column`` is per million: estimates are then too, and epsilon takes half the least value of the
-    column itself. fixed_gt and, for want of a tag, upos_gt then give n1 / n * 1e6 / n, as the reference has it.
-    ``epsilon`` is a constant to take instead.
+    ``mode`` is "u" where ``column`` is per million, and estimates are then too; fixed_gt and upos_gt then give
+    n1 / n * 1e6 / n, as the reference has it. ``freq`` is the lexicon's column of raw frequencies, ``n`` and ``n1``
+    override its total and the entries of the lowest frequency.
     """
     if mode not in ("raw", "u"):
         raise ValueError(f"unknown mode {mode!r}, not raw or u")
-    out = f"{column}_imputed"
-    value = F.col(column)
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, not one of {METHODS}")
+    out, value = f"{column}_imputed", F.col(column).cast("double")
     if method == "skip":
         return matched.withColumn(out, value)
-    stats = lexicon_stats(lexicon, freq)
-    with_stats = matched.crossJoin(stats)
-    share = F.col("n1") / F.col("n")
-    per_u = F.lit(1e6) / F.col("n") if mode == "u" else F.lit(1.0)
-    if method == "epsilon" and epsilon is not None:
-        estimate = F.lit(float(epsilon))
-    elif method == "epsilon" and mode == "u":
-        with_stats = with_stats.crossJoin(matched.agg(F.min(value).alias("gw_least")))
-        estimate = F.col("gw_least") / 2
-    elif method == "epsilon":
-        estimate = F.col("min_freq") / 2
-    elif method == "fixed_gt":
-        estimate = share * per_u
-    elif method == "per_doc_gt":
-        missing = F.count(F.when(value.isNull(), 1)).over(W.partitionBy("doc_id"))
-        estimate = F.col("n1") / F.nullif(missing, F.lit(0)) * per_u
+    stats = lexicon_stats(lexicon, freq).select((F.lit(n) if n is not None else F.col("n")).cast("double").alias("n"), (F.lit(n1) if n1 is not None else F.col("n1")).cast("double").alias("n1"), "n2")
+    share, scale = F.col("n1") / F.col("n"), F.lit(1e6) if mode == "u" else F.col("n")
+    per_token = 1e6 / F.col("n") if mode == "u" else F.lit(1.0)
+    unseen_of = lambda a, b: F.when(b > 0, a * a / (2.0 * b)).otherwise(a * (a - 1) / 2.0)
+    # one row of estimates, beside which each token is left as it is
+    if method == "epsilon":
+        one = matched.agg((F.lit(float(epsilon)) if epsilon is not None else F.min(value) / 2).alias("gw_value"))
+    elif method in ("fixed_gt", "upos_gt"):
+        one = stats.select((share * per_token).alias("gw_value"))
     elif method == "chao1":
-        unseen = F.when(F.col("n2") > 0, F.col("n1") * F.col("n1") / (2.0 * F.col("n2"))).otherwise(F.col("n1") * (F.col("n1") - 1) / 2.0)
-        estimate = share / F.greatest(unseen, F.lit(1.0)) * F.col("n") * per_u
+        one = stats.select((share / F.greatest(unseen_of(F.col("n1"), F.col("n2")), F.lit(1.0)) * scale).alias("gw_value"))
     elif method == "sgt":
         spectrum = frequency_spectrum(lexicon, freq).where("r > 0")
         line = spectrum.agg(F.regr_slope(F.log("nr"), F.log("r")).alias("slope"), F.regr_intercept(F.log("nr"), F.log("r")).alias("icept"), F.count(F.lit(1)).alias("points"))
-        with_stats = with_stats.crossJoin(line)
         unseen = F.greatest(F.exp(F.col("icept") + F.col("slope") * F.log(F.lit(0.5))), F.lit(1.0))
-        estimate = F.when(F.col("points") < 5, share).otherwise(share / unseen * F.col("n")) * per_u
+        one = stats.crossJoin(line).select(F.when(F.col("points") < 5, share * per_token).otherwise(share / unseen * scale).alias("gw_value"))
     elif method == "chao2":
         unknown = matched.where(value.isNull()).groupBy("lower_token").agg(F.countDistinct("doc_id").alias("docs"))
-        q = unknown.agg(F.count(F.when(F.col("docs") == 1, 1)).alias("q1"), F.count(F.when(F.col("docs") == 2, 1)).alias("q2"))
+        q = unknown.agg(F.count_if(F.col("docs") == 1).alias("q1"), F.count_if(F.col("docs") == 2).alias("q2"))
         docs = matched.agg(F.countDistinct("doc_id").alias("n_docs"))
-        with_stats = with_stats.crossJoin(q).crossJoin(docs)
-        unseen = F.when(F.col("q2") > 0, F.col("q1") * F.col("q1") / (2.0 * F.col("q2"))).otherwise(F.col("q1") * (F.col("q1") - 1) / 2.0)
-        unseen = F.greatest((F.col("n_docs") - 1) / F.col("n_docs") * unseen, F.lit(1.0))
-        estimate = share / unseen * F.col("n") * per_u
-    elif method == "upos_gt":
-        spectrum = lexicon.groupBy("upos", F.bround(F.col(freq).cast("double")).alias("r")).agg(F.count(F.lit(1)).alias("nr"))
-        per_tag = spectrum.groupBy("upos").agg(F.min_by("nr", "r").alias("n1_upos"))
-        if mode == "u":
-            per_tag = per_tag.join(lexicon.groupBy("upos").agg(F.sum(freq).alias("n_upos")), "upos")
-        with_stats = with_stats.join(per_tag, "upos", "left")
-        estimate = F.coalesce(F.col("n1_upos") / F.col("n_upos" if mode == "u" else "n"), share) * per_u
+        unseen = F.greatest((F.col("n_docs") - 1) / F.col("n_docs") * unseen_of(F.col("q1"), F.col("q2")), F.lit(1.0))
+        one = stats.crossJoin(q).crossJoin(docs).select((share / unseen * scale).alias("gw_value"))
     else:
-        raise ValueError(f"unknown method {method!r}, not one of {METHODS}")
-    return with_stats.withColumn(out, F.coalesce(value.cast("double"), estimate)).select(*matched.columns, out)
+        one = stats.select("n1", per_token.alias("per_token"))
+    with_one = matched.crossJoin(F.broadcast(one))
+    estimate = F.col("gw_value") if method != "per_doc_gt" else None
+    if method == "per_doc_gt":
+        missing = matched.where(value.isNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("gw_missing"))
+        with_one = with_one.join(missing, "doc_id", "left")
+        estimate = F.col("n1") / F.col("gw_missing") * F.col("per_token")
+    elif method == "upos_gt":
+        per_tag = lexicon_stats(lexicon, freq, by_upos=True).select(F.col("upos").alias("gw_upos"), F.col("n1").alias("tag_n1"), F.col("n").alias("tag_n"))
+        # one row a tag
+        per_tag = per_tag.crossJoin(stats.select("n")).select("gw_upos", F.when(F.col("tag_n") > 0, F.col("tag_n1") / F.col("tag_n") * 1e6 / F.col("n") if mode == "u" else F.col("tag_n1") / F.col("n")).alias("gw_tag"))
+        with_one = with_one.join(F.broadcast(per_tag), F.col("upos") == F.col("gw_upos"), "left")
+        estimate = F.coalesce("gw_tag", "gw_value")
+    return with_one.select(*[F.col(c) for c in matched.columns], F.coalesce(value, estimate).alias(out))
+
 
+def lexical_frequency(tokens: DataFrame, lexicon: DataFrame, freq: str = "freq", mode: str = "raw", method: str = "fixed_gt", prefix: str = "lex", **given) -> DataFrame:
+    """``match_lexicon``, then ``impute`` of the column <prefix>_<freq>."""
+    raw = freq if mode == "raw" else "freq"
+    return impute(match_lexicon(tokens, lexicon, freq, prefix), lexicon, f"{prefix}_{freq}", method, raw, mode, **given)
 
-def _diversity(tokens: DataFrame, suffix: str, full: bool) -> DataFrame:
-    types = tokens.groupBy("doc_id", "lower_token").agg(F.count(F.lit(1)).alias("f"))
+
+def _diversity(tokens: DataFrame, suffix: str, wanted: tuple[str, ...]) -> DataFrame:
+    types = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("f"))
     n, v = F.sum("f"), F.count(F.lit(1))
-    columns = [(v / n).alias(f"ttr{suffix}"), F.when(n > 1, (F.log(n) - F.log(v)) / F.log((n * n).cast("double"))).alias(f"maas{suffix}")]
-    if full:
-        columns.append(F.when(n > 1, F.sum(F.col("f") * (F.col("f") - 1)) / (n * (n - 1))).alias(f"simpson_d{suffix}"))
-    return types.groupBy("doc_id").agg(*columns)
+    columns = {
+        "TTR": v / n,
+        "maas": F.when(n > 1, (F.log(n) - F.log(v)) / F.log((n * n).cast("double"))),
+        "simpsons_D": F.when(n > 1, F.sum(F.col("f") * (F.col("f") - 1)) / (n * (n - 1))),
+    }
+    return types.groupBy("doc_id").agg(*[columns[c].alias(c + suffix) for c in wanted])
 
 
 def moving_ttr(tokens: DataFrame, window: int = 50) -> DataFrame:
-    """(doc_id, mattr): the mean type-token ratio of all windows of so many words; shorter texts are one window.
+    """(doc_id, MATTR): the mean type-token ratio of all windows of so many words; shorter texts are one window.
 
     In closed form: a word is the first of its type in those windows that begin after its last occurrence, so that
     counting windows word by word adds up to the sum of all windows' types. One lag a word, whatever the window.
     """
     order = W.partitionBy("doc_id").orderBy("sentence_id", "term_id")
-    placed = tokens.select("doc_id", "lower_token", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("n"))
-    placed = placed.withColumns({"w": F.least(F.col("n"), F.lit(window)), "last": F.lag("i").over(W.partitionBy("doc_id", "lower_token").orderBy("i"))})
+    placed = tokens.select("doc_id", "token", F.row_number().over(order).alias("i"), F.count(F.lit(1)).over(W.partitionBy("doc_id")).alias("n"))
+    placed = placed.withColumns({"w": F.least(F.col("n"), F.lit(window)), "last": F.lag("i").over(W.partitionBy("doc_id", "token").orderBy("i"))})
     first = F.greatest(F.lit(0), F.least(F.col("i"), F.col("n") - F.col("w") + 1) - F.greatest(F.lit(1), F.col("i") - F.col("w") + 1, F.coalesce("last", F.lit(0)) + 1) + 1)
-    return placed.groupBy("doc_id").agg((F.sum(first) / F.first(F.col("w") * (F.col("n") - F.col("w") + 1))).alias("mattr"))
+    return placed.groupBy("doc_id").agg((F.sum(first) / F.first(F.col("w") * (F.col("n") - F.col("w") + 1))).alias("MATTR"))
 
 
 def lexical_diversity(tokens: DataFrame, content: tuple[str, ...] = DIVERSITY_CONTENT, window: int = 50) -> DataFrame:
-    """Type-token ratio, its moving average, Maas and Simpson of all words, of content words (_content), and two of verbs (_verb)."""
-    words = tokens.where("compte")
-    parts = [_diversity(words, "", True), moving_ttr(words, window)]
+    """TTR, maas, MATTR, simpsons_D of all countable words, of content words (_content), and maas and simpsons_D of verbs (_verb).
+
+    Words are told apart as they are written (``post_process`` lowers their case). With a column ``start`` only tokens
+    that have one count; without ``compte`` all but punctuation.
+    """
+    words = tokens.where("start is not null") if "start" in tokens.columns else tokens
+    words = words.where("compte") if "compte" in words.columns else words.where("upos is null or upos <> 'PUNCT'")
+    every = ("TTR", "maas", "simpsons_D")
+    parts = [_diversity(words, "", every), moving_ttr(words, window)]
     lexical = words.where(F.col("upos").isin(*content))
-    parts += [_diversity(lexical, "_content", True), moving_ttr(lexical, window).withColumnRenamed("mattr", "mattr_content"), _diversity(words.where("upos = 'VERB'"), "_verb", False)]
+    parts += [_diversity(lexical, "_content", every), moving_ttr(lexical, window).withColumnRenamed("MATTR", "MATTR_content"), _diversity(words.where("upos = 'VERB'"), "_verb", every[1:])]
     return functools.reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
 
 
-_LEXICON = """, counted AS (SELECT lower_token AS token, upos, count(*) AS freq, min(lemma) AS lemma FROM tokens WHERE compte GROUP BY lower_token, upos),
+#: The lexicon of the passages of ``benchmark``, a corpus of its own, so that words of ``documents`` are found on all levels or missed.
+NORMS = "WITH" + prologue("benchmark", "item_id", "n_")
+_COUNTED = """, counted AS (SELECT lower_token AS token, upos, count(*) AS freq, min(lemma) AS lemma FROM n_tokens WHERE compte GROUP BY lower_token, upos),
 lexicon AS (SELECT token, upos, lemma, freq, freq * 1e6::DOUBLE / (SELECT sum(freq)::DOUBLE FROM counted) AS freq_u FROM counted)"""
-#: For matching: a lexicon that lacks every third word by length and letters, so that all levels and misses occur.
-HALF = "(length(token) % 3 <> 0 OR token < 'd')"
-_HALF = f", half AS (SELECT * FROM lexicon WHERE {HALF})"
-_MATCHED = """, k1 AS (SELECT token, upos, max(freq_u) AS f FROM half GROUP BY ALL), k2 AS (SELECT token, max(freq_u) AS f FROM half GROUP BY ALL), k3 AS (SELECT lemma, max(freq_u) AS f FROM half GROUP BY ALL),
-matched AS (SELECT t.*, coalesce(a.f, b.f, c.f, d.f, e.f) AS lex_freq_u,
-  CASE WHEN a.f IS NOT NULL THEN 'exact' WHEN b.f IS NOT NULL THEN 'token_only' WHEN c.f IS NOT NULL THEN 'lemma_to_token' WHEN d.f IS NOT NULL THEN 'token_to_lemma' WHEN e.f IS NOT NULL THEN 'lemma_to_lemma' ELSE 'none' END AS lex_match_level
-  FROM tokens t LEFT JOIN k1 a ON a.token = t.lower_token AND a.upos = t.upos LEFT JOIN k2 b ON b.token = t.lower_token LEFT JOIN k2 c ON c.token = t.lemma
-  LEFT JOIN k3 d ON d.lemma = t.lower_token LEFT JOIN k3 e ON e.lemma = t.lemma)"""
-_STATS = """, spectrum AS (SELECT freq AS r, count(*) AS nr FROM half GROUP BY freq),
-stats AS (SELECT (SELECT sum(freq)::DOUBLE FROM half) AS n, (SELECT min(freq) FROM half) AS min_freq, (SELECT nr FROM spectrum ORDER BY r LIMIT 1) AS n1, (SELECT nr FROM spectrum ORDER BY r LIMIT 1 OFFSET 1) AS n2)"""
-_IMPUTED = {
-    "epsilon": "min_freq / 2",
-    "fixed_gt": "n1 / n",
-    "per_doc_gt": "n1 / nullif(count(*) FILTER (lex_freq_u IS NULL) OVER (PARTITION BY doc_id), 0)",
-    "chao1": "n1 / n / greatest(CASE WHEN n2 > 0 THEN n1 * n1 / (2.0::DOUBLE * n2) ELSE n1 * (n1 - 1) / 2.0::DOUBLE END, 1.0::DOUBLE) * n",
-    "sgt": "CASE WHEN (SELECT count(*) FROM spectrum) < 5 THEN n1 / n ELSE n1 / n / greatest(exp((SELECT regr_intercept(ln(nr), ln(r)) FROM spectrum) + (SELECT regr_slope(ln(nr), ln(r)) FROM spectrum) * ln(0.5::DOUBLE)), 1.0::DOUBLE) * n END",
-    "chao2": """n1 / n / greatest((SELECT count(DISTINCT doc_id) - 1 FROM tokens) / (SELECT count(DISTINCT doc_id) FROM tokens) *
-      (SELECT CASE WHEN count(*) FILTER (d = 2) > 0 THEN count(*) FILTER (d = 1) * count(*) FILTER (d = 1) / (2.0::DOUBLE * count(*) FILTER (d = 2)) ELSE count(*) FILTER (d = 1) * (count(*) FILTER (d = 1) - 1) / 2.0::DOUBLE END
-       FROM (SELECT count(DISTINCT doc_id) AS d FROM matched WHERE lex_freq_u IS NULL GROUP BY lower_token)), 1.0::DOUBLE) * n""",
-    "upos_gt": "coalesce((SELECT nr FROM (SELECT upos, freq, count(*) AS nr FROM half GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY freq LIMIT 1) / n, n1 / n)",
-}
-#: For queries over the whole lexicon, whose column is per million.
-_WHOLE = ", half AS (SELECT * FROM lexicon)"
-_IMPUTED_U = {
-    "epsilon": "(SELECT min(lex_freq_u) FROM matched) / 2",
-    **{m: f"({_IMPUTED[m]}) * 1e6::DOUBLE / n" for m in ("fixed_gt", "per_doc_gt", "chao1", "sgt", "chao2")},
-    "upos_gt": "coalesce((SELECT nr FROM (SELECT upos, freq, count(*) AS nr FROM half GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY freq LIMIT 1) / (SELECT sum(h.freq)::DOUBLE FROM half h WHERE h.upos = matched.upos), n1 / n) * 1e6::DOUBLE / n",
-}
-
-
-def _diversity_sql(name: str, where: str, suffix: str, full: bool) -> str:
-    simpson = f", CASE WHEN sum(f) > 1 THEN sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) END AS simpson_d{suffix}" if full else ""
-    return f""", {name} AS (SELECT doc_id, count(*) / sum(f) AS ttr{suffix}, CASE WHEN sum(f) > 1 THEN (ln(sum(f)::DOUBLE) - ln(count(*)::DOUBLE)) / ln((sum(f) * sum(f))::DOUBLE) END AS maas{suffix}{simpson}
-  FROM (SELECT doc_id, lower_token, count(*) AS f FROM tokens WHERE {where} GROUP BY ALL) GROUP BY doc_id)"""
+_LEXICON = PROLOGUE + "," + prologue("benchmark", "item_id", "n_") + _COUNTED
+# each level by itself over what the levels before it left, as the definition has it
+_LEVEL = "SELECT r, {n} AS level, max(freq) AS f, max(freq_u) AS u FROM ids JOIN lexicon l ON {on} WHERE r NOT IN (SELECT r FROM {before}) GROUP BY r"
+_ON = {"exact": "l.token = ids.lower_token AND l.upos = ids.upos", "token_only": "l.token = ids.lower_token", "lemma_to_token": "l.token = lower(ids.lemma)", "token_to_lemma": "l.lemma = ids.lower_token", "lemma_to_lemma": "l.lemma = lower(ids.lemma)"}
+
+
+def _levels() -> str:
+    out, before = "", "none_yet"
+    for i, (name, on) in enumerate(_ON.items()):
+        out += f", step_{i} AS MATERIALIZED (" + _LEVEL.format(n=f"'{name}'", on=on, before=before) + f"), upto_{i} AS MATERIALIZED (SELECT r FROM step_{i} UNION ALL SELECT r FROM {before})"
+        before = f"upto_{i}"
+    return out + ", found AS (" + " UNION ALL ".join(f"SELECT * FROM step_{i}" for i in range(len(_ON))) + ")"
+
+
+_MATCHED = f""", ids AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM (SELECT DISTINCT lower_token, lemma, upos FROM tokens)), none_yet AS (SELECT r FROM ids WHERE FALSE){_levels()},
+matched AS MATERIALIZED (SELECT t.*, f.f AS lex_freq, f.u AS lex_freq_u, coalesce(f.level, 'none') AS lex_match_level
+  FROM tokens t JOIN ids ON ids.lower_token = t.lower_token AND ids.lemma = t.lemma AND ids.upos = t.upos LEFT JOIN found f USING (r))"""
+_STATS = """, spectrum AS (SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq),
+stats AS (SELECT (SELECT sum(freq)::DOUBLE FROM lexicon) AS n, (SELECT nr::DOUBLE FROM spectrum ORDER BY r LIMIT 1) AS n1, coalesce((SELECT nr::DOUBLE FROM spectrum ORDER BY r LIMIT 1 OFFSET 1), 0) AS n2)"""
+
+
+def _imputed_sql(method: str, mode: str) -> str:
+    column = "lex_freq_u" if mode == "u" else "lex_freq"
+    scale, by_token = ("1e6::DOUBLE", "* 1e6::DOUBLE / n") if mode == "u" else ("n", "")
+    richness = "CASE WHEN {b} > 0 THEN {a} * {a} / (2.0::DOUBLE * {b}) ELSE {a} * ({a} - 1) / 2.0::DOUBLE END"
+    tag = f"(SELECT s.nr{{}} FROM (SELECT upos, freq, count(*) AS nr FROM lexicon GROUP BY ALL) s WHERE s.upos = matched.upos ORDER BY s.freq LIMIT 1)"
+    of_tag = "(SELECT sum(h.freq)::DOUBLE FROM lexicon h WHERE h.upos = matched.upos)"
+    value = {
+        "epsilon": f"(SELECT min({column}) FROM matched) / 2.0::DOUBLE",
+        "fixed_gt": f"n1 / n {by_token}",
+        "per_doc_gt": f"n1 / nullif(count(*) FILTER ({column} IS NULL) OVER (PARTITION BY doc_id), 0) {by_token}",
+        "chao1": f"n1 / n / greatest({richness.format(a='n1', b='n2')}, 1.0::DOUBLE) * {scale}",
+        "sgt": f"CASE WHEN (SELECT count(*) FROM spectrum) < 5 THEN n1 / n {by_token} ELSE n1 / n / greatest(exp((SELECT regr_intercept(ln(nr), ln(r)) FROM spectrum) + (SELECT regr_slope(ln(nr), ln(r)) FROM spectrum) * ln(0.5::DOUBLE)), 1.0::DOUBLE) * {scale} END",
+        "chao2": f"""n1 / n / greatest((SELECT count(DISTINCT doc_id) - 1 FROM tokens) / (SELECT count(DISTINCT doc_id) FROM tokens) *
+          (SELECT {richness.format(a="q1", b="q2")} FROM (SELECT (count(*) FILTER (d = 1))::DOUBLE AS q1, (count(*) FILTER (d = 2))::DOUBLE AS q2
+           FROM (SELECT count(DISTINCT doc_id) AS d FROM matched WHERE {column} IS NULL GROUP BY lower_token))), 1.0::DOUBLE) * {scale}""",
+        "upos_gt": f"coalesce({tag.format('')} / {of_tag} * 1e6::DOUBLE / n, n1 / n * 1e6::DOUBLE / n)" if mode == "u" else f"coalesce({tag.format('')} / n, n1 / n)",
+        "skip": "NULL",
+    }[method]
+    return _LEXICON + _MATCHED + _STATS + f" SELECT doc_id, sentence_id, term_id, coalesce({column}::DOUBLE, {value}) AS {column}_imputed FROM matched, stats"
+
+
+def _diversity_sql(name: str, where: str, suffix: str, wanted: tuple[str, ...]) -> str:
+    columns = {
+        "TTR": f"count(*) / sum(f) AS TTR{suffix}",
+        "maas": f"CASE WHEN sum(f) > 1 THEN (ln(sum(f)::DOUBLE) - ln(count(*)::DOUBLE)) / ln((sum(f) * sum(f))::DOUBLE) END AS maas{suffix}",
+        "simpsons_D": f"CASE WHEN sum(f) > 1 THEN sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) END AS simpsons_D{suffix}",
+    }
+    return f", {name} AS (SELECT doc_id, {', '.join(columns[c] for c in wanted)} FROM (SELECT doc_id, token, count(*) AS f FROM tokens WHERE {where} GROUP BY ALL) GROUP BY doc_id)"
 
 
 def _mattr_sql(name: str, where: str, suffix: str) -> str:
-    # by the same closed form; tests compare it with windows that are counted one by one
-    return f""", {name}_p AS (SELECT doc_id, lower_token, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_id, term_id) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM tokens WHERE {where}),
-{name}_l AS (SELECT *, least(n, 50) AS w, lag(i) OVER (PARTITION BY doc_id, lower_token ORDER BY i) AS last FROM {name}_p),
-{name} AS (SELECT doc_id, sum(greatest(0, least(i, n - w + 1) - greatest(1, i - w + 1, coalesce(last, 0) + 1) + 1)) / any_value(w * (n - w + 1)) AS mattr{suffix} FROM {name}_l GROUP BY doc_id)"""
+    # window by window: the different words of each list of fifty
+    return f""", {name}_l AS (SELECT doc_id, list(token ORDER BY sentence_id, term_id) AS l FROM tokens WHERE {where} GROUP BY doc_id),
+{name}_w AS (SELECT doc_id, list_slice(l, i, i + least(len(l), 50) - 1) AS s FROM {name}_l, unnest(range(1, len(l) - least(len(l), 50) + 2)) t(i)),
+{name} AS (SELECT doc_id, avg(len(list_distinct(s)) / len(s)) AS MATTR{suffix} FROM {name}_w GROUP BY doc_id)"""
 
 
 _C = f"compte AND upos IN {tuple(DIVERSITY_CONTENT)}"
+_EVERY = ("TTR", "maas", "simpsons_D")
 SQL = {
-    "lexicon": PROLOGUE + _LEXICON + " SELECT * FROM lexicon",
-    "lexical_plurals": PROLOGUE
-    + _LEXICON
-    + """, made AS (SELECT rule, upos, lemma, freq, freq_u, token AS source, CASE rule WHEN 1 THEN token || 's' WHEN 2 THEN token || 'x' WHEN 3 THEN regexp_replace(token, 'eau$', 'eaux') ELSE regexp_replace(token, 'al$', 'aux') END AS token
-  FROM lexicon, (VALUES (1), (2), (3), (4)) r(rule)),
-best AS (SELECT *, row_number() OVER (PARTITION BY token, upos ORDER BY rule, freq DESC, source) AS k FROM made WHERE token <> source)
+    "lexicon": NORMS + _COUNTED + " SELECT * FROM lexicon",
+    "lexical_plurals": NORMS
+    + _COUNTED
+    + """, made AS (SELECT rule, token AS source, CASE rule WHEN 1 THEN token || 's' WHEN 2 THEN token || 'x' WHEN 3 THEN regexp_replace(token, 'eau$', 'eaux') ELSE regexp_replace(token, 'al$', 'aux') END AS plural
+  FROM (SELECT DISTINCT token FROM lexicon), (VALUES (1), (2), (3), (4)) r(rule)),
+fixed AS (SELECT DISTINCT ON (plural) plural, source FROM made WHERE plural <> source ORDER BY plural, rule, source)
 SELECT token, upos, lemma, freq, freq_u, FALSE AS is_generated_plural FROM lexicon UNION ALL
-SELECT token, upos, lemma, freq, freq_u, TRUE FROM best WHERE k = 1 AND token NOT IN (SELECT token FROM lexicon)""",
-    "lexical_cascade": PROLOGUE + _LEXICON + _HALF + _MATCHED + " SELECT doc_id, sentence_id, term_id, lex_freq_u, lex_match_level FROM matched",
-    "frequency_spectrum": PROLOGUE + _LEXICON + " SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq",
-    "lexicon_stats": PROLOGUE + _LEXICON + """, spectrum AS (SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq)
+SELECT plural, upos, lemma, freq, freq_u, TRUE FROM fixed JOIN lexicon ON token = source WHERE plural NOT IN (SELECT token FROM lexicon)""",
+    "lexical_cascade": _LEXICON + _MATCHED + " SELECT doc_id, sentence_id, term_id, lex_freq_u, lex_match_level FROM matched",
+    "frequency_spectrum": NORMS + _COUNTED + " SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq",
+    "lexicon_stats": NORMS + _COUNTED + """, spectrum AS (SELECT freq AS r, count(*) AS nr FROM lexicon GROUP BY freq)
 SELECT sum(r * nr)::BIGINT AS n, sum(nr)::BIGINT AS v, min(r) AS min_freq, (SELECT nr FROM spectrum ORDER BY r LIMIT 1) AS n1, (SELECT nr FROM spectrum ORDER BY r LIMIT 1 OFFSET 1) AS n2 FROM spectrum""",
-    **{f"impute_{m}": PROLOGUE + _LEXICON + _HALF + _MATCHED + _STATS + f" SELECT doc_id, sentence_id, term_id, coalesce(lex_freq_u, {e}) AS lex_freq_u_imputed FROM matched, stats" for m, e in _IMPUTED.items()},
-    "lexical_cascade_whole": PROLOGUE + _LEXICON + _WHOLE + _MATCHED + " SELECT doc_id, sentence_id, term_id, lex_freq_u, lex_match_level FROM matched",
-    **{f"impute_{m}_whole": PROLOGUE + _LEXICON + _WHOLE + _MATCHED + _STATS + f" SELECT doc_id, sentence_id, term_id, coalesce(lex_freq_u, {e}) AS lex_freq_u_imputed FROM matched, stats" for m, e in _IMPUTED_U.items()},
+    "lexicon_stats_by_upos": NORMS + _COUNTED + """, s AS (SELECT *, row_number() OVER (PARTITION BY upos ORDER BY freq) AS k FROM (SELECT upos, freq, count(*) AS nr FROM lexicon GROUP BY upos, freq))
+SELECT upos, sum(freq * nr)::BIGINT AS n, sum(nr)::BIGINT AS v, min(freq) AS min_freq, sum(nr) FILTER (k = 1)::BIGINT AS n1, coalesce(sum(nr) FILTER (k = 2), 0)::BIGINT AS n2 FROM s GROUP BY upos""",
+    **{f"impute_{m}{'_u' if mode == 'u' else ''}": _imputed_sql(m, mode) for m in METHODS for mode in ("raw", "u")},
     "lexical_diversity": PROLOGUE
-    + _diversity_sql("a", "compte", "", True) + _mattr_sql("b", "compte", "") + _diversity_sql("c", _C, "_content", True) + _mattr_sql("d", _C, "_content") + _diversity_sql("e", "compte AND upos = 'VERB'", "_verb", False)
+    + _diversity_sql("a", "compte", "", _EVERY) + _mattr_sql("b", "compte", "") + _diversity_sql("c", _C, "_content", _EVERY) + _mattr_sql("d", _C, "_content") + _diversity_sql("e", "compte AND upos = 'VERB'", "_verb", _EVERY[1:])
     + " SELECT * FROM a LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id) LEFT JOIN e USING (doc_id)",
 }

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossweave.annotate import sql_list
-from glossweave.operators.trees import KEY, RECURSIVE, nearest_flagged, numbered, path_sums
+from glossweave.operators.trees import KEY, RECURSIVE, nearest_flagged, numbered, path_sums, with_children
 
 NOMINAL_UPOS = ("NOUN", "PROPN", "PRON")
 NOMINAL_CHILDREN = ("amod", "nmod", "nmod:poss", "acl", "acl:relcl", "nummod", "appos", "compound", "det:nummod")
@@ -22,19 +23,19 @@ def _yes(c: Column) -> Column:
 
 
 def with_clause_flags(tokens: DataFrame, count_parataxis: bool = False) -> DataFrame:
-    """Adds what a token's children and the path to its root make it: one aggregate by head, one join, one path sum.
+    """Adds what a token's children and the path to its root make it: one aggregate by head, one path sum, no join.
+
+    Rows without an id of their own, such as the range row of a contraction, stay, outside of the tree: they can be counted.
 
     is_complex_nominal, has_own_subject, is_predicate, is_complex_verb, dep_count (counted children), base_rel,
     is_tunit_head (the root, or a predicate with a subject of its own that only coordination joins to it).
     """
-    t = numbered(tokens).withColumn("base_rel", F.regexp_replace("dep_rel", ":.*$", ""))
-    has = lambda rels: F.max(F.col("dep_rel").isin(*rels))
+    t = numbered(tokens, ranges=True).withColumn("base_rel", F.regexp_replace("dep_rel", ":.*$", ""))
     finite = F.col("upos").isin("VERB", "AUX") & ~_yes(F.col("feats").rlike(NOT_FINITE))
-    children = t.where("head > 0").groupBy(*KEY, F.col("head").alias("id")).agg(
-        has(NOMINAL_CHILDREN).alias("nominal_child"), has(SUBJECTS).alias("has_own_subject"), has(("cop",)).alias("cop_child"),
-        has(AUXILIARIES).alias("aux_child"), F.max(finite).alias("finite_child"), F.count_if("compte").alias("dep_count"),
-    )
-    t = t.join(children, [*KEY, "id"], "left").fillna(False, ["nominal_child", "has_own_subject", "cop_child", "aux_child", "finite_child"]).fillna(0, ["dep_count"])
+    rel = lambda rels: _yes(F.col("dep_rel").isin(*rels))
+    passed = {"nominal": rel(NOMINAL_CHILDREN), "subject": rel(SUBJECTS), "cop": rel(("cop",)), "aux": rel(AUXILIARIES), "finite": _yes(finite), "counted": _yes(F.col("compte"))}
+    has = lambda c: _yes(F.max(f"child.{c}"))
+    t = with_children(t, passed, nominal_child=has("nominal"), has_own_subject=has("subject"), cop_child=has("cop"), aux_child=has("aux"), finite_child=has("finite"), dep_count=F.count_if("child.counted"))
     t = t.withColumns({
         "is_complex_nominal": _yes(F.col("upos").isin(*NOMINAL_UPOS)) & F.col("nominal_child"),
         "is_predicate": _yes(F.col("upos").isin("VERB", "AUX")) | F.col("cop_child"),
@@ -55,16 +56,23 @@ def syntactic_complexity(tokens: DataFrame, dependent: tuple[str, ...] = DEPENDE
     """Clause lengths and densities, complex nominals and verbs, dependency distances of each document."""
     t = with_clause_flags(tokens, count_parataxis)
     counted = F.col("compte")
+    # places among the words, so that punctuation in between counts for no distance
+    word = F.col("id").isNotNull() & _yes(F.col("upos") != "PUNCT")
+    at = F.sum(word.cast("int")).over(W.partitionBy(*KEY).orderBy(F.col("id").asc_nulls_first(), "term_id"))
+    t = t.withColumns({"place": F.when(word, at), "arc": F.when(word & (F.col("head") > 0), F.col("head"))})
+    places = F.map_from_arrays(F.collect_list(F.when(word, F.col("id"))), F.collect_list("place"))
+    arcs = F.collect_list(F.when(F.col("arc").isNotNull(), F.struct("place", "arc")))
     root = F.min(F.when(F.col("dep_rel") == "root", F.col("id")))
-    distance = F.when((F.col("head") > 0) & (F.col("upos") != "PUNCT"), F.abs(F.col("id") - F.col("head")))
-    ids = F.array_sort(F.collect_list(F.when(counted, F.col("id"))))
+    ids = F.collect_list(F.when(counted, F.col("id")))
     s = t.groupBy(*KEY).agg(
         F.count_if(counted).alias("n_tokens"), F.count_if(counted & F.col("dep_rel").isin(*dependent)).alias("n_dc"), F.count_if(counted & F.col("is_complex_nominal")).alias("n_cn"),
-        F.count_if(counted & F.col("is_complex_verb")).alias("n_cv"), F.coalesce(F.sum(F.when(counted, F.col("dep_count"))), F.lit(0)).alias("deps"), F.sum(distance).alias("distance"), F.count(distance).alias("n_dep"), _tunits().alias("n_tunits"),
-        root.alias("root"), ids.alias("ids"),
+        F.count_if(counted & F.col("is_complex_verb")).alias("n_cv"), F.coalesce(F.sum(F.when(counted, F.col("dep_count"))), F.lit(0)).alias("deps"), _tunits().alias("n_tunits"),
+        root.alias("root"), ids.alias("ids"), places.alias("places"), arcs.alias("arcs"),
     ).where("n_tokens > 0")
+    far = F.transform("arcs", lambda x: F.abs(x.place - F.try_element_at("places", x.arc)))
+    s = s.withColumn("far", F.filter(far, lambda x: x.isNotNull()))
     before = F.when(F.col("root").isNotNull(), F.size(F.filter("ids", lambda x: x < F.col("root"))))
-    s = s.withColumns({"n_clause": F.col("n_tunits") + F.col("n_dc"), "before": before})
+    s = s.withColumns({"n_clause": F.col("n_tunits") + F.col("n_dc"), "before": before, "distance": F.aggregate("far", F.lit(0).cast("long"), lambda a, x: a + x), "n_dep": F.size("far")})
     over = lambda a, b: F.sum(a) / F.sum(b)
     return s.groupBy("doc_id").agg(
         over("n_tokens", "n_clause").alias("avg_clause_length"),
@@ -83,8 +91,12 @@ def syntactic_complexity(tokens: DataFrame, dependent: tuple[str, ...] = DEPENDE
 def tunit_features(tokens: DataFrame, count_parataxis: bool = False) -> DataFrame:
     """Lu's ratios of words, sentences, T-units, clauses, verb phrases, coordinate phrases and complex nominals by document."""
     t = with_clause_flags(tokens, count_parataxis)
-    heads = t.where("compte").select(*KEY, F.col("id").alias("head"), F.col("upos").alias("head_upos"))
-    t = t.join(heads, [*KEY, "head"], "left")
+    # the tag of the head, from the group of those that point to it
+    told = F.max(F.when(F.col("is_head"), F.col("told"))).over(W.partitionBy(*KEY, "node"))
+    names = t.columns
+    node = F.coalesce(F.when(F.col("head") > 0, F.col("head")), -F.col("term_id") - 1)
+    twice = F.array(F.struct(node.alias("node"), F.lit(False).alias("is_head"), F.lit(None).cast("string").alias("told")), F.struct(F.when(F.col("compte"), F.col("id")).alias("node"), F.lit(True).alias("is_head"), F.col("upos").alias("told")))
+    t = t.select("*", F.inline(twice)).where("node is not null").withColumn("head_upos", told).where("not is_head").select(*names, "head_upos")
     conj, own, pred = F.col("base_rel") == "conj", F.col("has_own_subject"), F.col("is_predicate")
     verb = (F.col("upos") == "VERB") | ((F.col("upos") == "AUX") & ~F.col("dep_rel").isin(*AUXILIARIES))
     phrase = conj & ~(pred & own) & F.col("head_upos").isin(*COORDINATED)
@@ -99,14 +111,21 @@ def tunit_features(tokens: DataFrame, count_parataxis: bool = False) -> DataFram
 
 
 def split_clauses(tokens: DataFrame, dependent: tuple[str, ...] = DEPENDENT_CLAUSES, count_parataxis: bool = False, require_finite: bool = False) -> DataFrame:
-    """Adds is_clause_head and clause_id: the number, in the order of the text, of the nearest clause head above a token."""
+    """Adds is_clause_head and clause_id: the number, in the order of the text, of the nearest clause head above a token.
+
+    Both are null for rows without an id of their own; clause_id also where no clause head is above.
+    """
     t = with_clause_flags(tokens, count_parataxis)
     subordinate = _yes(F.col("dep_rel").isin(*dependent))
     if require_finite:
         subordinate = subordinate & F.col("is_finite")
     t = nearest_flagged(t.withColumn("is_clause_head", F.col("is_tunit_head") | subordinate), F.col("is_clause_head"), "of")
-    numbers = t.where("is_clause_head").select(*KEY, F.col("id").alias("of"), F.expr(f"row_number() OVER (PARTITION BY {', '.join(KEY)} ORDER BY id)").alias("clause_id"))
-    return t.join(numbers, [*KEY, "of"], "left").select(*tokens.columns, "is_clause_head", "clause_id")
+    numbers = F.sum(F.when(F.col("is_clause_head"), 1)).over(W.partitionBy(*KEY).orderBy(F.col("id").asc_nulls_first(), "term_id"))
+    t = t.withColumn("own", F.when(F.col("is_clause_head"), numbers))
+    # all whose nearest clause head is the same have its number
+    clause = F.when(F.col("of").isNotNull(), F.max("own").over(W.partitionBy(*KEY, "of")))
+    inside = F.when(F.col("id").isNotNull(), F.col("is_clause_head"))
+    return t.withColumn("clause_id", clause).select(*tokens.columns, inside.alias("is_clause_head"), "clause_id")
 
 
 _S = "doc_id, paragraph_id, sentence_id"
@@ -120,11 +139,13 @@ tu AS MATERIALIZED (SELECT fl.*, r.term_id IS NOT NULL AND (fl.head = 0 OR (pred
 _DC = sql_list(DEPENDENT_CLAUSES)
 SQL = {
     "syntactic_complexity": _FLAGS + f""", roots AS (SELECT doc_id, sentence_id, min(term_id) AS root FROM tu WHERE dep_rel = 'root' GROUP BY ALL),
+pos AS MATERIALIZED (SELECT doc_id, sentence_id, term_id, head, row_number() OVER (PARTITION BY doc_id, sentence_id ORDER BY term_id) AS p FROM tokens WHERE upos <> 'PUNCT'),
+dd AS (SELECT a.doc_id, sum(abs(a.p - b.p)) AS dist, count(*) AS nd FROM pos a JOIN pos b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND a.head = b.term_id GROUP BY ALL),
 s AS (SELECT {_S}, count(*) FILTER (compte) AS w, count(*) FILTER (compte AND dep_rel IN {_DC}) AS dc, count(*) FILTER (compte AND cn) AS cn, count(*) FILTER (compte AND cv) AS cv, coalesce(sum(deps) FILTER (compte), 0) AS deps,
-  sum(abs(term_id - head)) FILTER (head > 0 AND upos <> 'PUNCT') AS dist, count(*) FILTER (head > 0 AND upos <> 'PUNCT') AS nd, 1 + count(*) FILTER (th AND head > 0) AS t, CASE WHEN min(root) IS NOT NULL THEN count(*) FILTER (compte AND term_id < root) END AS br
+  1 + count(*) FILTER (th AND head > 0) AS t, CASE WHEN min(root) IS NOT NULL THEN count(*) FILTER (compte AND term_id < root) END AS br
   FROM tu LEFT JOIN roots USING (doc_id, sentence_id) GROUP BY ALL HAVING count(*) FILTER (compte) > 0)
-SELECT doc_id, sum(w) / sum(t + dc) AS avg_clause_length, avg(cn) AS complex_nom_per_sent, avg(cv) AS complex_verb_per_sent, sum(dist) / nullif(sum(nd), 0) AS avg_dep_dist, sum(deps) / sum(w) AS avg_dep_count, avg(br) AS avg_words_before_root,
-  sum(t + dc) / count(*) AS clausal_density, sum(dc) / sum(t + dc) AS dc_per_clause, sum(cn) / sum(t + dc) AS cn_per_clause, sum(cv) / sum(t + dc) AS cv_per_clause FROM s GROUP BY doc_id""",
+SELECT doc_id, sum(w) / sum(t + dc) AS avg_clause_length, avg(cn) AS complex_nom_per_sent, avg(cv) AS complex_verb_per_sent, any_value(dist) / nullif(any_value(nd), 0) AS avg_dep_dist, sum(deps) / sum(w) AS avg_dep_count, avg(br) AS avg_words_before_root,
+  sum(t + dc) / count(*) AS clausal_density, sum(dc) / sum(t + dc) AS dc_per_clause, sum(cn) / sum(t + dc) AS cn_per_clause, sum(cv) / sum(t + dc) AS cv_per_clause FROM s LEFT JOIN dd USING (doc_id) GROUP BY doc_id""",
     "tunit_features": _FLAGS + f""", u AS (SELECT tu.*, h.upos AS hu FROM tu LEFT JOIN tu h ON h.doc_id = tu.doc_id AND h.sentence_id = tu.sentence_id AND h.term_id = tu.head AND h.compte),
 s AS (SELECT {_S}, 1 + count(*) FILTER (th AND head > 0) AS t, count(*) FILTER (compte) AS w, count(*) FILTER (compte AND (upos = 'VERB' OR (upos = 'AUX' AND dep_rel NOT IN {sql_list(AUXILIARIES)})) AND NOT (base = 'conj' AND pred AND NOT own)) AS vp,
   count(*) FILTER (compte AND dep_rel IN {_DC}) AS dc, count(DISTINCT head) FILTER (compte AND base = 'conj' AND NOT (pred AND own) AND hu IN {sql_list(COORDINATED)}) AS cp, count(*) FILTER (compte AND cn) AS cn FROM u GROUP BY ALL),

@@ -1,25 +1,30 @@
 """Dependency trees: paths to the root, heights, degrees, Yngve and memory costs, arc directions and distances.
 
-All work on whole sentences at once. A sentence is packed into an array in which pointers double: after log2(n) steps
-every token knows the sum along its path, whatever the shape of the tree; cycles and missing heads leave null. As token
-tables are partitioned by doc_id, packing, windows and joins by sentence need no further exchange.
+All work on whole sentences at once. Tokens are partitioned by sentence once, and everything below reads that: windows,
+the packing of a sentence into an array, and what a token's children add up to, for which no table is joined with itself.
+In the array pointers double: after log2(n) steps every token knows the sum along its path, whatever the shape of the
+tree; cycles and missing heads leave null.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from glossweave.annotate import PROLOGUE
+from glossweave.scratch import stored
 
 KEY = ("doc_id", "paragraph_id", "sentence_id")
 REFERENTS = ("NOUN", "PROPN", "VERB")
 
 
-def numbered(tokens: DataFrame) -> DataFrame:
-    """Adds id and head as integers; range rows (30-31) and empty nodes (8.1) have no such id and are dropped."""
-    return tokens.withColumns({"id": F.expr("try_cast(token_id AS INT)"), "head": F.expr("try_cast(head_token_id AS INT)")}).where("id is not null")
+def numbered(tokens: DataFrame, ranges: bool = False) -> DataFrame:
+    """Adds id and head as integers. Range rows (30-31) and empty nodes (8.1) have no such id; they are dropped unless ``ranges``."""
+    t = tokens.withColumns({"id": F.expr("try_cast(token_id AS INT)"), "head": F.expr("try_cast(head_token_id AS INT)")})
+    return (t if ranges else t.where("id is not null")).repartition(*KEY)
 
 
 _PARENT = "CASE WHEN x.head = 0 THEN 0 WHEN x.head > 0 AND get(gw_t, x.head - 1).id = x.head THEN x.head ELSE cast(nullif(array_position(gw_t.id, x.head), 0) AS INT) END"
@@ -57,85 +62,134 @@ def nearest_flagged(tokens: DataFrame, flag: Column, name: str) -> DataFrame:
     return _packed(t, ["gw_flag"]).select(*KEY, F.explode(found).alias("x")).select(*KEY, "x.row.*", F.col("x.of").alias(name))
 
 
+def with_children(t: DataFrame, passed: dict[str, Column], **aggregates: Column) -> DataFrame:
+    """Adds aggregates over the ``passed`` values of a token's children, to tokens with id and head.
+
+    Each token is there twice, under its own id and, with what it passes on, under its head's; grouping by id within the
+    sentence brings both together, where they already are. Rows without an id have groups of their own.
+    """
+    child = F.struct(*[c.alias(n) for n, c in passed.items()])
+    own = F.struct(*t.columns)
+    node = F.coalesce(F.col("id"), -F.col("term_id") - 1) if "term_id" in t.columns else F.col("id")
+    both = F.array(F.struct(node.alias("node"), own.alias("own"), F.lit(None).cast(_type(t, child)).alias("child")), F.struct(F.when(F.col("head") > 0, F.col("head")).alias("node"), F.lit(None).cast(_type(t, own)).alias("own"), child.alias("child")))
+    each = t.select(*KEY, F.inline(both)).where("node is not null")
+    grouped = each.groupBy(*KEY, "node").agg(F.first("own", ignorenulls=True).alias("own"), *[c.alias(n) for n, c in aggregates.items()])
+    return grouped.where("own is not null").select("own.*", *aggregates)
+
+
+def _type(t: DataFrame, c: Column) -> str:
+    return t.select(c.alias("x")).schema["x"].dataType.simpleString()
+
+
+def tree_tokens(tokens: DataFrame) -> DataFrame:
+    """(KEY, id, head, punct, ref, depth, yngve) of the tokens that have an id and a head."""
+    t = numbered(tokens.where("head_token_id is not null")).where("head is not null")
+    punct = F.coalesce(F.col("upos") == "PUNCT", F.lit(True))  # a token without a tag counts with punctuation, where that is left out
+    t = t.select(*KEY, "id", "head", punct.alias("punct"), F.coalesce(F.col("upos").isin(*REFERENTS), F.lit(False)).cast("int").alias("ref"))
+    siblings = W.partitionBy(*KEY, "head")
+    return path_sums(t.withColumn("right", F.count(F.lit(1)).over(siblings) - F.row_number().over(siblings.orderBy("id"))), depth=F.lit(1), yngve=F.col("right"))
+
+
+def _variance(c: Column) -> Column:
+    """The population's, of integers: exact up to the one division."""
+    n, c = F.count(c), c.cast("long")
+    return F.try_divide((n * F.sum(c * c) - F.sum(c) * F.sum(c)).cast("double"), (n * n).cast("double"))
+
+
 def sentence_tree_stats(tokens: DataFrame, include_punct: bool = True) -> DataFrame:
     """Heights, degrees, Yngve depth and incomplete dependencies of each sentence.
 
-    Incomplete dependencies are Gibson's: at each place, over the arcs to a later head that are open there, the new
-    referents since they opened; by running sums, not by comparing arcs with places.
+    Depths and Yngve depths are those in the whole tree; tokens from which no root is reached, and punctuation where
+    that is left out, are then not counted, and a sentence without a token that counts has zeros. Incomplete
+    dependencies are Gibson's: at each place, over the arcs to a later head that are open there, the new referents since
+    they opened; by running sums, not by comparing arcs with places.
     """
-    t = numbered(tokens)
-    if not include_punct:
-        t = t.where("upos <> 'PUNCT'")
+    t = tree_tokens(tokens)
+    counts = F.col("depth").isNotNull() if include_punct else F.col("depth").isNotNull() & ~F.col("punct")
     by = W.partitionBy(*KEY).orderBy("id")
-    t = t.select(*KEY, "id", "head", F.coalesce(F.col("upos").isin(*REFERENTS), F.lit(False)).cast("int").alias("ref"))
-    siblings = W.partitionBy(*KEY, "head")
-    t = t.withColumns({"refs": F.sum("ref").over(by), "right": F.count(F.lit(1)).over(siblings) - F.row_number().over(siblings.orderBy("id"))})
-    t = path_sums(t, depth=F.lit(1), yngve=F.col("right"))
-    left = F.col("id") < F.col("head")
-    children = t.where("head > 0").groupBy(*KEY, F.col("head").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.count_if(left).alias("closed"), F.coalesce(F.sum(F.when(left, F.col("refs"))), F.lit(0)).alias("closed_refs"))
-    heads = t.select(*KEY, F.col("id").alias("head"), F.lit(1).alias("there"))
-    t = t.join(children, [*KEY, "id"], "left").join(heads, [*KEY, "head"], "left").fillna(0, ["degree", "closed", "closed_refs"])
-    opens = (left & F.col("there").isNotNull()).cast("int")
-    cost = F.col("refs") * (F.sum(opens).over(by) - F.sum("closed").over(by)) - (F.sum(opens * F.col("refs")).over(by) - F.sum("closed_refs").over(by))
-    n = F.count(F.lit(1))
-    leaves = F.count_if(F.col("degree") == 0)
-    return (
-        t.withColumn("cost", cost)
-        .groupBy(*KEY)
-        .agg(
-            F.max("depth").alias("max_path"),
-            F.avg("depth").alias("avg_dependency_depth"),
-            F.try_divide(F.sum("depth"), n - 1).alias("avg_dependency_depth_adj"),
-            F.when(n > 1, F.stddev_samp("depth")).otherwise(0.0).alias("sd_depth"),
-            F.var_pop("depth").alias("depth_var"),
-            F.avg("degree").alias("branching_factor"),
-            F.max("degree").alias("max_degree"),
-            F.var_pop("degree").alias("degree_var"),
-            leaves.alias("leaf_count"),
-            (leaves / n).alias("prop_leaves"),
-            F.sum("depth").alias("count_path"),
-            n.alias("sentence_length"),
-            F.max("cost").alias("max_incomplete_deps"),
-            F.avg("cost").alias("avg_incomplete_deps"),
-            (F.max("cost") / n).alias("max_incomplete_deps_adj"),
-            (F.avg("cost") / n).alias("avg_incomplete_deps_adj"),
-            F.avg("yngve").alias("yngve"),
-            F.max("yngve").alias("max_yngve"),
-            F.when(n > 1, F.stddev_samp("yngve")).otherwise(0.0).alias("sd_yngve"),
-        )
+    t = t.withColumn("counts", counts).withColumn("refs", F.sum(F.when(F.col("counts"), F.col("ref")).otherwise(0)).over(by))
+    left = F.col("counts") & (F.col("head") > F.col("id"))
+    passed = {"counted": F.col("counts"), "closes": left.cast("int"), "closed": F.when(left, F.col("refs")).otherwise(0)}
+    t = with_children(t, passed, degree=F.count_if("child.counted"), closes=F.coalesce(F.sum("child.closes"), F.lit(0)), closed=F.coalesce(F.sum("child.closed"), F.lit(0)))
+    opens = left.cast("int")
+    cost = F.col("refs") * (F.sum(opens).over(by) - F.sum("closes").over(by)) - (F.sum(opens * F.col("refs")).over(by) - F.sum("closed").over(by))
+    t = t.withColumn("cost", cost)
+    of = lambda c: F.when(F.col("counts"), F.col(c))
+    n = F.count_if("counts")
+    leaves = F.count_if(F.col("counts") & (F.col("degree") == 0))
+    some = lambda c: F.coalesce(c, F.lit(0))
+    return t.groupBy(*KEY).agg(
+        some(F.max(of("depth"))).alias("max_path"),
+        some(F.avg(of("depth"))).alias("avg_dependency_depth"),
+        F.when(n > 1, F.sum(of("depth")) / F.nullif(n - 1, F.lit(0))).otherwise(0.0).alias("avg_dependency_depth_adj"),
+        F.when(n > 1, F.stddev_samp(of("depth"))).otherwise(0.0).alias("sd_depth"),
+        some(_variance(of("depth"))).alias("depth_var"),
+        some(F.avg(of("degree"))).alias("branching_factor"),
+        some(F.max(of("degree"))).alias("max_degree"),
+        some(_variance(of("degree"))).alias("degree_var"),
+        leaves.alias("leaf_count"),
+        some(F.try_divide(leaves, n)).alias("prop_leaves"),
+        some(F.sum(of("depth"))).alias("count_path"),
+        n.alias("sentence_length"),
+        some(F.max(of("cost"))).alias("max_incomplete_deps"),
+        some(F.avg(of("cost"))).alias("avg_incomplete_deps"),
+        some(F.max(of("cost")) / F.greatest(n, F.lit(1))).alias("max_incomplete_deps_adj"),
+        some(F.avg(of("cost")) / F.greatest(n, F.lit(1))).alias("avg_incomplete_deps_adj"),
+        some(F.avg(of("yngve"))).alias("yngve"),
+        some(F.max(of("yngve"))).alias("max_yngve"),
+        F.when(n > 1, F.stddev_samp(of("yngve"))).otherwise(0.0).alias("sd_yngve"),
     )
 
 
-def arc_directions(tokens: DataFrame) -> DataFrame:
-    """For each word: places among the words, whether the head follows or precedes, how far it is, and the referents in between."""
-    t = numbered(tokens).where("upos <> 'PUNCT'")
+def arc_directions(tokens: DataFrame, include_punct: bool = False) -> DataFrame:
+    """For each token: its place among the words, whether its head follows or precedes, how far it is, and the referents strictly in between.
+
+    Punctuation has no place and no direction unless ``include_punct``; a word whose head is punctuation has a direction
+    but no distance. Tokens without an id, or without a head, have neither.
+    """
+    t = numbered(tokens, ranges=True)
+    word = F.col("id").isNotNull() & (F.lit(include_punct) | F.coalesce(F.col("upos") != "PUNCT", F.lit(False)))
     by = W.partitionBy(*KEY)
-    ref = F.col("upos").isin(*REFERENTS).cast("int")
-    t = t.select(*KEY, "id", "head", ref.alias("ref"), F.row_number().over(by.orderBy("id")).alias("dep_pos"), F.count(F.lit(1)).over(by).alias("sent_len"), F.sum(ref).over(by.orderBy("id")).alias("refs"))
-    heads = t.select(*KEY, F.col("id").alias("head"), F.col("dep_pos").alias("head_pos"), F.col("refs").alias("head_refs"), F.col("ref").alias("head_ref"))
-    t = t.join(heads, [*KEY, "head"], "left")
-    later = F.col("head_pos") > F.col("dep_pos")
-    between = F.when(later, F.col("head_refs") - F.col("head_ref") - F.col("refs")).otherwise(F.col("refs") - F.col("ref") - F.col("head_refs"))
-    return t.select(*KEY, "id", "head", "sent_len", "dep_pos", later.alias("head_final"), (~later).alias("head_initial"), F.abs(F.col("head_pos") - F.col("dep_pos")).alias("head_distance"), F.when(later, 1).when(~later, -1).alias("direction"), between.alias("integration_cost"))
+    ref = F.coalesce(F.col("upos").isin(*REFERENTS), F.lit(False)).cast("int")
+    t = t.select(*KEY, "term_id", "token_id", "id", "head", ref.alias("ref"), word.alias("word"))
+    running = by.orderBy(F.col("id").asc_nulls_first(), "term_id")
+    t = t.withColumns({"sent_len": F.count_if("word").over(by), "at": F.sum(F.col("word").cast("int")).over(running), "refs": F.sum("ref").over(running)})
+    # what a token needs of its head: each head passes its place on to the group of those that point to it
+    asks = F.when((F.col("head") > 0) & F.col("word"), F.col("head"))
+    own = F.struct("term_id", "token_id", "id", "head", "ref", "word", "sent_len", "at", "refs")
+    told = F.struct(F.when(F.col("word"), F.col("at")).alias("at"), "ref", "refs")
+    each = t.select(*KEY, F.inline(F.array(F.struct(F.coalesce(asks, -F.col("term_id") - 1).alias("node"), own.alias("own"), F.lit(None).cast(_type(t, told)).alias("told")), F.struct(F.col("id").alias("node"), F.lit(None).cast(_type(t, own)).alias("own"), told.alias("told")))))
+    h = F.max("told").over(W.partitionBy(*KEY, "node"))
+    t = each.where("node is not null").withColumn("h", h).where("own is not null").select(*KEY, "own.*", "h")
+    dependent = F.col("word") & (F.col("head") > 0)
+    later = F.when(dependent, F.col("head") > F.col("id"))
+    before_head = F.col("h.refs") - F.col("h.ref") - F.col("refs")
+    between = F.when(later, before_head).when(~later, F.col("refs") - F.col("ref") - F.col("h.refs"))
+    return t.select(
+        *KEY, "token_id", F.col("id").alias("token_id_num"), F.col("head").alias("head_token_id_num"), "sent_len", F.when(F.col("word"), F.col("at")).alias("dep_pos"),
+        later.alias("head_final"), F.when(dependent, F.col("head") < F.col("id")).alias("head_initial"), F.when(dependent, F.abs(F.col("h.at") - F.col("at"))).alias("head_distance"),
+        F.when(dependent, F.signum((F.col("head") - F.col("id")).cast("double")).cast("int")).alias("head_direction"), F.when(dependent, between).alias("integration_cost"),
+    )
 
 
 def tree_features(tokens: DataFrame) -> DataFrame:
     """Tree features of each document: sentences' shapes with punctuation, directions and distances of arcs without."""
+    tokens = stored(tokens.select(*KEY, "term_id", "token_id", "head_token_id", "upos"))
     s = sentence_tree_stats(tokens)
     means = {"avg_sent_height": "max_path", "avg_sd_depth": "sd_depth", "avg_depth_var": "depth_var", "avg_branching_factor": "branching_factor", "avg_tree_degree": "max_degree", "avg_degree_var": "degree_var", "avg_leaf_count": "leaf_count", "prop_leaves": "prop_leaves", "avg_max_incomplete_deps": "max_incomplete_deps", "avg_incomplete_deps": "avg_incomplete_deps", "avg_yngve": "yngve", "avg_max_yngve": "max_yngve", "avg_sd_yngve": "sd_yngve"}
     heights = s.groupBy("doc_id").agg(F.stddev_samp("max_path").alias("sd_sent_height"), *[F.avg(c).alias(n) for n, c in means.items()], F.sum("sentence_length").alias("n"), F.count(F.lit(1)).alias("s"), F.sum("count_path").alias("total_paths"))
-    heights = heights.withColumn("avg_dependency_depth", F.col("total_paths") / F.col("n"))
+    heights = heights.withColumn("avg_dependency_depth", F.try_divide("total_paths", "n"))
     a = arc_directions(tokens)
-    root = F.min(F.when(F.col("head") == 0, F.col("dep_pos")))
-    per_sentence = a.groupBy(*KEY).agg(F.count("head_final").alias("arcs"), F.count_if("head_final").alias("finals"), F.count_if("head_initial").alias("initials"), F.sum("head_distance").alias("distance"), F.max("head_distance").alias("longest"), F.sum("integration_cost").alias("cost"), F.first("sent_len").alias("len"), root.alias("root"))
-    mdd = F.try_divide(F.col("distance"), F.col("arcs"))
+    root = F.min(F.when(F.col("head_token_id_num") == 0, F.col("dep_pos")))
+    per_sentence = a.groupBy(*KEY).agg(F.count("head_final").alias("arcs"), F.count_if("head_final").alias("finals"), F.count_if("head_initial").alias("initials"), F.sum("head_distance").alias("distance"), F.count("head_distance").alias("distances"), F.max("head_distance").alias("longest"), F.sum("integration_cost").alias("cost"), F.count("integration_cost").alias("costs"), F.first("sent_len").alias("len"), root.alias("root"))
+    mdd = F.try_divide(F.col("distance"), F.col("distances"))
     ndd = F.abs(F.log(mdd / F.sqrt(F.col("root") * F.col("len"))))
     arcs = per_sentence.withColumn("ndd", ndd).groupBy("doc_id").agg(
         F.try_divide(F.sum("finals"), F.sum("arcs")).alias("prop_hf"),
         F.try_divide(F.sum("initials"), F.sum("arcs")).alias("prop_hi"),
-        F.try_divide(F.sum("distance"), F.sum("arcs")).alias("avg_head_distance"),
+        F.try_divide(F.sum("distance"), F.sum("distances")).alias("avg_head_distance"),
         F.max("longest").alias("max_head_distance"),
-        F.try_divide(F.sum("cost"), F.sum("arcs")).alias("avg_integration_cost"),
+        F.try_divide(F.sum("cost"), F.sum("costs")).alias("avg_integration_cost"),
         F.avg("ndd").alias("avg_head_distance_adj"),
         F.avg("root").alias("avg_root_position"),
     )
@@ -145,16 +199,46 @@ def tree_features(tokens: DataFrame) -> DataFrame:
 def depth_variability(stats: DataFrame) -> DataFrame:
     """Mean sentence height of a document and its mean change from one sentence to the next."""
     last = F.lag("max_path").over(W.partitionBy("doc_id").orderBy("paragraph_id", "sentence_id"))
-    return stats.withColumn("last", last).groupBy("doc_id").agg(F.avg("max_path").alias("mean_height"), F.avg(F.abs(F.col("max_path") - F.col("last"))).alias("mean_height_change"))
+    return stats.withColumn("last", last).groupBy("doc_id").agg(F.avg("max_path").alias("avg_sent_height"), F.avg(F.abs(F.col("max_path") - F.col("last"))).alias("depth_delta"))
+
+
+def _lesser_before(values: np.ndarray, bounds: np.ndarray) -> int:
+    """How many pairs i < j have values[i] < bounds[j]: by merging halves, a sort for each of log2(n) levels."""
+    total, width, n = 0, 1, len(values)
+    low = min(values.min(), bounds.min())
+    values, bounds = values - low, bounds - low
+    span = int(max(values.max(), bounds.max())) + 1
+    place = np.arange(n)
+    while width < n:
+        pair, second = place // (2 * width), place // width % 2 == 1
+        left = np.sort(pair[~second] * span + values[~second])
+        total += int((np.searchsorted(left, pair[second] * span + bounds[second]) - np.searchsorted(left, pair[second] * span)).sum())
+        width *= 2
+    return total
+
+
+def count_crossings(lo: np.ndarray, hi: np.ndarray) -> int:
+    """Pairs of arcs lo1 < lo2 < hi1 < hi2, in n log(n) squared steps."""
+    if len(lo) < 2:
+        return 0
+    order = np.lexsort((-hi, lo))
+    lo, hi = lo[order].astype(np.int64), hi[order].astype(np.int64)
+    # of arcs with the same start the longer comes first, so that such pairs fall out
+    return _lesser_before(hi, hi) - _lesser_before(hi, lo + 1)
 
 
 def crossing_arcs(tokens: DataFrame) -> DataFrame:
     """(doc_id, paragraph_id, sentence_id, n_crossings): pairs of arcs lo1 < lo2 < hi1 < hi2 of each sentence that has words."""
-    t = numbered(tokens)
-    arcs = t.where("head > 0").select(*KEY, F.least("id", "head").alias("lo"), F.greatest("id", "head").alias("hi"))
-    other = arcs.select(*KEY, F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = arcs.join(other, list(KEY)).where("lo < lo2 and lo2 < hi and hi < hi2").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_crossings"))
-    return t.select(*KEY).distinct().join(pairs, list(KEY), "left").fillna(0, ["n_crossings"])
+
+    @F.arrow_udf("long")
+    def crossings(lo: pa.Array, hi: pa.Array) -> pa.Array:
+        ends = np.concatenate(([0], np.cumsum(lo.value_lengths().to_numpy())))
+        a, b = lo.flatten().to_numpy(), hi.flatten().to_numpy()
+        return pa.array([count_crossings(a[i:j], b[i:j]) for i, j in zip(ends[:-1], ends[1:])], pa.int64())
+
+    arc = F.when(F.col("head") > 0, F.struct(F.least("id", "head").alias("lo"), F.greatest("id", "head").alias("hi")))
+    packed = numbered(tokens).groupBy(*KEY).agg(F.collect_list(arc).alias("arcs"))
+    return packed.select(*KEY, crossings("arcs.lo", "arcs.hi").alias("n_crossings"))
 
 
 def child_flags(tokens: DataFrame, dep_rels: tuple[str, ...], lemmas: tuple[str, ...] | None = None, upos: tuple[str, ...] | None = None, only_counted: bool = False) -> DataFrame:
@@ -167,7 +251,7 @@ def child_flags(tokens: DataFrame, dep_rels: tuple[str, ...], lemmas: tuple[str,
 
 
 #: Depths by following heads row by row, memory costs by comparing arcs with places: the definitions, not the methods above.
-RECURSIVE = PROLOGUE.replace("WITH ", "WITH RECURSIVE ", 1)
+RECURSIVE = PROLOGUE.replace("WITH", "WITH RECURSIVE", 1)
 _S = "doc_id, paragraph_id, sentence_id"
 _STATS_SQL = RECURSIVE + f""", sib AS MATERIALIZED (SELECT {_S}, term_id, head, upos, count(*) OVER (PARTITION BY {_S}, head) - row_number() OVER (PARTITION BY {_S}, head ORDER BY term_id) AS r,
   sum(CASE WHEN upos IN ('NOUN', 'PROPN', 'VERB') THEN 1 ELSE 0 END) OVER (PARTITION BY {_S} ORDER BY term_id) AS refs FROM tokens),
@@ -177,15 +261,16 @@ costs AS (SELECT s.doc_id, s.sentence_id, s.term_id, sum(s.refs - d.refs) AS cos
   AND d.head > d.term_id AND d.term_id <= s.term_id AND s.term_id < d.head GROUP BY ALL),
 deg AS (SELECT doc_id, sentence_id, head AS term_id, count(*) AS degree FROM sib WHERE head > 0 GROUP BY ALL),
 f AS (SELECT s.doc_id, s.paragraph_id, s.sentence_id, s.term_id, depth, yngve, coalesce(cost, 0) AS cost, coalesce(degree, 0) AS degree FROM sib s LEFT JOIN paths USING (doc_id, sentence_id, term_id) LEFT JOIN costs USING (doc_id, sentence_id, term_id) LEFT JOIN deg USING (doc_id, sentence_id, term_id)),
-stats AS (SELECT {_S}, max(depth) AS max_path, avg(depth) AS avg_dependency_depth, sum(depth) / nullif(count(*) - 1, 0) AS avg_dependency_depth_adj, CASE WHEN count(*) > 1 THEN stddev_samp(depth) ELSE 0 END AS sd_depth,
-  var_pop(depth) AS depth_var, avg(degree) AS branching_factor, max(degree) AS max_degree, var_pop(degree) AS degree_var, count(*) FILTER (degree = 0) AS leaf_count, count(*) FILTER (degree = 0) / count(*) AS prop_leaves,
+stats AS (SELECT {_S}, max(depth) AS max_path, avg(depth) AS avg_dependency_depth, CASE WHEN count(*) > 1 THEN sum(depth) / (count(*) - 1) ELSE 0 END AS avg_dependency_depth_adj, CASE WHEN count(*) > 1 THEN stddev_samp(depth) ELSE 0 END AS sd_depth,
+  (count(depth) * sum(depth * depth) - sum(depth) * sum(depth))::DOUBLE / (count(depth) * count(depth))::DOUBLE AS depth_var, avg(degree) AS branching_factor, max(degree) AS max_degree, (count(degree) * sum(degree * degree) - sum(degree) * sum(degree))::DOUBLE / (count(degree) * count(degree))::DOUBLE AS degree_var, count(*) FILTER (degree = 0) AS leaf_count, count(*) FILTER (degree = 0) / count(*) AS prop_leaves,
   sum(depth)::BIGINT AS count_path, count(*) AS sentence_length, max(cost)::BIGINT AS max_incomplete_deps, avg(cost) AS avg_incomplete_deps, max(cost) / count(*) AS max_incomplete_deps_adj, avg(cost) / count(*) AS avg_incomplete_deps_adj,
   avg(yngve) AS yngve, max(yngve) AS max_yngve, CASE WHEN count(*) > 1 THEN stddev_samp(yngve) ELSE 0 END AS sd_yngve FROM f GROUP BY ALL)"""
-_ARCS_SQL = f""", w AS (SELECT {_S}, term_id, head, row_number() OVER (PARTITION BY {_S} ORDER BY term_id) AS dep_pos, count(*) OVER (PARTITION BY {_S}) AS sent_len,
-  sum(CASE WHEN upos IN ('NOUN', 'PROPN', 'VERB') THEN 1 ELSE 0 END) OVER (PARTITION BY {_S} ORDER BY term_id) AS refs, upos IN ('NOUN', 'PROPN', 'VERB') AS ref FROM tokens WHERE upos <> 'PUNCT'),
-arcs AS (SELECT w.doc_id, w.paragraph_id, w.sentence_id, w.term_id AS id, w.head, w.sent_len, w.dep_pos, h.dep_pos > w.dep_pos AS head_final, h.dep_pos < w.dep_pos AS head_initial, abs(h.dep_pos - w.dep_pos) AS head_distance,
-  CASE WHEN h.dep_pos > w.dep_pos THEN 1 WHEN h.dep_pos < w.dep_pos THEN -1 END AS direction,
-  CASE WHEN h.dep_pos > w.dep_pos THEN h.refs - h.ref::INT - w.refs ELSE w.refs - w.ref::INT - h.refs END::BIGINT AS integration_cost
+_ARCS_SQL = f""", w AS MATERIALIZED (SELECT {_S}, term_id, head, CASE WHEN upos <> 'PUNCT' THEN count(*) FILTER (upos <> 'PUNCT') OVER (PARTITION BY {_S} ORDER BY term_id) END AS dep_pos,
+  count(*) FILTER (upos <> 'PUNCT') OVER (PARTITION BY {_S}) AS sent_len, sum((upos IN ('NOUN', 'PROPN', 'VERB'))::INT) OVER (PARTITION BY {_S} ORDER BY term_id) AS refs, upos IN ('NOUN', 'PROPN', 'VERB') AS ref, upos <> 'PUNCT' AND head > 0 AS dependent FROM tokens),
+arcs AS MATERIALIZED (SELECT w.doc_id, w.paragraph_id, w.sentence_id, w.term_id AS token_id_num, w.term_id::VARCHAR AS token_id, w.head AS head_token_id_num, w.sent_len, w.dep_pos,
+  CASE WHEN w.dependent THEN w.head > w.term_id END AS head_final, CASE WHEN w.dependent THEN w.head < w.term_id END AS head_initial, CASE WHEN w.dependent THEN abs(h.dep_pos - w.dep_pos) END AS head_distance,
+  CASE WHEN w.dependent THEN sign(w.head - w.term_id)::INT END AS head_direction,
+  CASE WHEN w.dependent AND w.head > w.term_id THEN h.refs - h.ref::INT - w.refs WHEN w.dependent THEN w.refs - w.ref::INT - h.refs END::BIGINT AS integration_cost
   FROM w LEFT JOIN w h ON h.doc_id = w.doc_id AND h.sentence_id = w.sentence_id AND h.term_id = w.head)"""
 SQL = {
     "sentence_tree_stats": _STATS_SQL + " SELECT * FROM stats",
@@ -193,11 +278,11 @@ SQL = {
     "tree_features": _STATS_SQL + _ARCS_SQL + f""", hs AS (SELECT doc_id, avg(max_path) AS avg_sent_height, stddev_samp(max_path) AS sd_sent_height, avg(sd_depth) AS avg_sd_depth, avg(depth_var) AS avg_depth_var, avg(branching_factor) AS avg_branching_factor,
   avg(max_degree) AS avg_tree_degree, avg(degree_var) AS avg_degree_var, avg(leaf_count) AS avg_leaf_count, avg(prop_leaves) AS prop_leaves, avg(max_incomplete_deps) AS avg_max_incomplete_deps, avg(avg_incomplete_deps) AS avg_incomplete_deps,
   avg(yngve) AS avg_yngve, avg(max_yngve) AS avg_max_yngve, avg(sd_yngve) AS avg_sd_yngve, sum(sentence_length)::BIGINT AS n, count(*) AS s, sum(count_path)::BIGINT AS total_paths, sum(count_path) / sum(sentence_length) AS avg_dependency_depth FROM stats GROUP BY doc_id),
-ps AS (SELECT {_S}, avg(head_distance) AS mdd, min(sent_len) AS len, min(dep_pos) FILTER (head = 0) AS root FROM arcs GROUP BY ALL),
+ps AS (SELECT {_S}, avg(head_distance) AS mdd, min(sent_len) AS len, min(dep_pos) FILTER (head_token_id_num = 0) AS root FROM arcs GROUP BY ALL),
 nd AS (SELECT doc_id, avg(abs(ln(mdd / sqrt(root * len)))) AS avg_head_distance_adj, avg(root) AS avg_root_position FROM ps GROUP BY doc_id),
 ds AS (SELECT doc_id, avg(head_final::INT) AS prop_hf, avg(head_initial::INT) AS prop_hi, avg(head_distance) AS avg_head_distance, max(head_distance) AS max_head_distance, avg(integration_cost) AS avg_integration_cost FROM arcs GROUP BY doc_id)
 SELECT * FROM hs JOIN nd USING (doc_id) JOIN ds USING (doc_id)""",
-    "depth_variability": _STATS_SQL + ", l AS (SELECT *, lag(max_path) OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) AS last FROM stats) SELECT doc_id, avg(max_path) AS mean_height, avg(abs(max_path - last)) AS mean_height_change FROM l GROUP BY doc_id",
+    "depth_variability": _STATS_SQL + ", l AS (SELECT *, lag(max_path) OVER (PARTITION BY doc_id ORDER BY paragraph_id, sentence_id) AS last FROM stats) SELECT doc_id, avg(max_path) AS avg_sent_height, avg(abs(max_path - last)) AS depth_delta FROM l GROUP BY doc_id",
     "crossing_arcs": PROLOGUE + f""", a AS (SELECT {_S}, least(term_id, head) AS lo, greatest(term_id, head) AS hi FROM tokens WHERE head > 0),
 c AS (SELECT a.doc_id, a.sentence_id, count(*) AS n FROM a JOIN a b ON a.doc_id = b.doc_id AND a.sentence_id = b.sentence_id AND a.lo < b.lo AND b.lo < a.hi AND a.hi < b.hi GROUP BY ALL)
 SELECT DISTINCT {_S}, coalesce(n, 0) AS n_crossings FROM tokens LEFT JOIN c USING (doc_id, sentence_id)""",

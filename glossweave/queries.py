@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossweave.annotate import annotate
 from glossweave.operators import counts, lexical, syntax, trees
+from glossweave.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,32 +26,38 @@ def on_tokens(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: operator(tokens(spark, sf_dir))
 
 
-def _matched(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    half = lexical.build_lexicon(t).where(lexical.HALF)
-    return lexical.match_lexicon(t, half), half
+def on_stored(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
+    """For operators that read the tokens several times: these columns are made once, and written."""
+    return lambda spark, sf_dir: operator(stored(tokens(spark, sf_dir).select(*columns or "*")))
 
 
-def _matched_whole(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    whole = lexical.build_lexicon(t)
-    return lexical.match_lexicon(t, whole), whole
+def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of another corpus than the one that is looked up: the passages of ``benchmark``."""
+    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
+    return lexical.build_lexicon(annotate(passages))
 
 
-def _imputed_whole(method: str) -> Query:
-    """Over the whole lexicon, in the scale of the column, which is per million."""
+def _imputed(method: str, mode: str) -> Query:
+    column = "freq_u" if mode == "u" else "freq"
 
-    def query(t: DataFrame) -> DataFrame:
-        matched, whole = _matched_whole(t)
-        return lexical.impute(matched, whole, "lex_freq_u", method, mode="u").select("doc_id", "sentence_id", "term_id", "lex_freq_u_imputed")
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # both are used several times: they are made once
+        t, lexicon = stored(tokens(spark, sf_dir).select("doc_id", "sentence_id", "term_id", "lower_token", "lemma", "upos")), stored(norms(spark, sf_dir))
+        found = lexical.match_lexicon(t, lexicon, column)
+        if method in ("epsilon", "chao2", "per_doc_gt"):
+            found = stored(found)
+        return lexical.impute(found, lexicon, f"lex_{column}", method, mode=mode).select("doc_id", "sentence_id", "term_id", f"lex_{column}_imputed")
 
-    return on_tokens(query)
+    return query
 
 
-def _imputed(method: str) -> Query:
-    def query(t: DataFrame) -> DataFrame:
-        matched, half = _matched(t)
-        return lexical.impute(matched, half, "lex_freq_u", method).select("doc_id", "sentence_id", "term_id", "lex_freq_u_imputed")
+def _cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(tokens(spark, sf_dir).select("doc_id", "sentence_id", "term_id", "lower_token", "lemma", "upos"))
+    return lexical.match_lexicon(t, stored(norms(spark, sf_dir))).select("doc_id", "sentence_id", "term_id", "lex_freq_u", "lex_match_level")
 
-    return on_tokens(query)
+
+def on_norms(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(stored(norms(spark, sf_dir)))
 
 
 QUERIES: dict[str, Query] = {
@@ -58,15 +65,14 @@ QUERIES: dict[str, Query] = {
     "upos_distribution": on_tokens(counts.upos_distribution),
     "verb_tenses": on_tokens(counts.verb_tenses),
     "sentence_length_variability": on_tokens(counts.sentence_length_variability),
-    "lexicon": on_tokens(lexical.build_lexicon),
-    "lexical_plurals": on_tokens(lambda t: lexical.expand_plurals(lexical.build_lexicon(t))),
-    "lexical_cascade": on_tokens(lambda t: _matched(t)[0].select("doc_id", "sentence_id", "term_id", "lex_freq_u", "lex_match_level")),
-    "frequency_spectrum": on_tokens(lambda t: lexical.frequency_spectrum(lexical.build_lexicon(t))),
-    "lexicon_stats": on_tokens(lambda t: lexical.lexicon_stats(lexical.build_lexicon(t))),
-    **{f"impute_{m}": _imputed(m) for m in lexical.METHODS if m != "skip"},
-    "lexical_cascade_whole": on_tokens(lambda t: _matched_whole(t)[0].select("doc_id", "sentence_id", "term_id", "lex_freq_u", "lex_match_level")),
-    **{f"impute_{m}_whole": _imputed_whole(m) for m in lexical.METHODS if m != "skip"},
-    "lexical_diversity": on_tokens(lexical.lexical_diversity),
+    "lexicon": norms,
+    "lexical_plurals": on_norms(lexical.expand_plurals),
+    "lexical_cascade": _cascade,
+    "frequency_spectrum": on_norms(lexical.frequency_spectrum),
+    "lexicon_stats": on_norms(lexical.lexicon_stats),
+    "lexicon_stats_by_upos": on_norms(lambda x: lexical.lexicon_stats(x, by_upos=True)),
+    **{f"impute_{m}{'_u' if mode == 'u' else ''}": _imputed(m, mode) for m in lexical.METHODS for mode in ("raw", "u")},
+    "lexical_diversity": on_stored(lexical.lexical_diversity, "doc_id", "sentence_id", "term_id", "token", "upos", "compte"),
     "sentence_tree_stats": on_tokens(trees.sentence_tree_stats),
     "arc_directions": on_tokens(trees.arc_directions),
     "tree_features": on_tokens(trees.tree_features),

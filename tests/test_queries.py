@@ -6,8 +6,10 @@ import math
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from glossweave import queries
 from glossweave.operators import lexical, syntax, trees
@@ -87,11 +89,54 @@ def test_broken_trees(spark):
     """A cycle, a missing head and a null head leave depths null, and nothing fails."""
     t = sentence(spark, list("abcde"), [0, 3, 2, 99, None], ["NOUN"] * 5, ["root", "dep", "dep", "dep", "dep"])
     r = trees.sentence_tree_stats(t).first()
-    assert (r.sentence_length, r.max_path, r.count_path) == (5, 0, 0)
+    assert (r.sentence_length, r.max_path, r.count_path, r.avg_dependency_depth_adj) == (1, 0, 0, 0.0)
     assert trees.tree_features(t).count() == 1
     assert {x.clause_id for x in syntax.split_clauses(t).collect()} == {1, None}
 
 
+def test_punctuation_left_out(svo):
+    """Depths and Yngve depths stay those of the whole tree; the full stop only isn't counted."""
+    r = trees.sentence_tree_stats(svo, include_punct=False).first()
+    assert (r.sentence_length, r.max_path, r.count_path, r.max_yngve, r.max_degree) == (5, 2, 6, 2, 2)
+    assert (r.avg_dependency_depth, r.yngve, r.avg_dependency_depth_adj) == pytest.approx((6 / 5, 6 / 5, 6 / 4))
+
+
+def test_one_word(spark):
+    r = trees.sentence_tree_stats(sentence(spark, ["Viens"], [0], ["VERB"], ["root"])).first()
+    assert (r.sentence_length, r.avg_dependency_depth_adj, r.sd_depth, r.sd_yngve, r.max_degree) == (1, 0, 0, 0, 0)
+
+
+def test_contractions_are_words(spark):
+    """Il mange du pain: the range row counts, its parts are the tree."""
+    schema = "doc_id string, paragraph_id int, sentence_id int, term_id int, token_id string, token string, lemma string, upos string, feats string, head_token_id string, dep_rel string, compte boolean, lower_token string"
+    rows = [("1", "Il", "PRON", "2", "nsubj", True), ("2", "mange", "VERB", "0", "root", True), ("3-4", "du", None, None, None, True), ("3", "de", "ADP", "5", "case", False), ("4", "le", "DET", "5", "det", False), ("5", "pain", "NOUN", "2", "obj", True)]
+    t = spark.createDataFrame([("d", 1, 1, i + 1, at, w, w, u, None, h, r, c, w.lower()) for i, (at, w, u, h, r, c) in enumerate(rows)], schema)
+    f = syntax.tunit_features(t).first()
+    assert (f.n_tunits, f.mls, f.mlt) == (1, 4, 4)
+    s = syntax.syntactic_complexity(t).first()
+    assert (s.avg_clause_length, s.avg_words_before_root, s.avg_dep_dist) == pytest.approx((4, 1, 7 / 4))
+    clauses = {r.token_id: (r.is_clause_head, r.clause_id) for r in syntax.split_clauses(t).collect()}
+    assert len(clauses) == 6 and clauses["3-4"] == (None, None) and clauses["5"] == (False, 1) and clauses["2"] == (True, 1)
+    assert {r.token_id: r.head_distance for r in trees.arc_directions(t).collect()} == {"1": 1, "2": None, "3-4": None, "3": 2, "4": 1, "5": 3}
+
+
+def test_require_finite(spark):
+    """A participle opens no clause of its own; the same with a finite copula does."""
+    t = sentence(spark, "la pomme cueillie tombe".split(), [2, 4, 2, 0], "DET NOUN VERB VERB".split(), "det nsubj acl root".split()).withColumn("feats", F.when(F.col("token") == "cueillie", "VerbForm=Part"))
+    assert [r.is_clause_head for r in syntax.split_clauses(t).orderBy("term_id").collect()] == [False, False, True, True]
+    assert [r.is_clause_head for r in syntax.split_clauses(t, require_finite=True).orderBy("term_id").collect()] == [False, False, False, True]
+
+
+def test_crossings_by_pairs():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 2, 5, 40, 200):
+        ends = rng.integers(1, n + 2, (n, 2))
+        ends = ends[ends[:, 0] != ends[:, 1]]
+        lo, hi = ends.min(axis=1), ends.max(axis=1)
+        want = sum(a < c < b < d for a, b in zip(lo, hi) for c, d in zip(lo, hi))
+        assert trees.count_crossings(lo, hi) == want
+
+
 def test_moving_ttr_by_windows(spark):
     words = "a b a c b a d e a b c a f a b".split()
     t = sentence(spark, words, [0] * len(words), ["NOUN"] * len(words), ["root"] * len(words))
@@ -99,19 +144,14 @@ def test_moving_ttr_by_windows(spark):
         width = min(w, len(words))
         windows = [words[i : i + width] for i in range(len(words) - width + 1)]
         want = sum(len(set(x)) / width for x in windows) / len(windows)
-        assert lexical.moving_ttr(t, w).first().mattr == pytest.approx(want)
-
-
-def test_whole_lexicon_misses_no_word():
-    """The thinned lexicon of the other lexical queries must not get into these."""
-    assert all("half AS (SELECT * FROM lexicon)" in sql and lexical.HALF not in sql for name, sql in queries.SQL.items() if name.endswith("_whole"))
+        assert lexical.moving_ttr(t, w).first().MATTR == pytest.approx(want)
 
 
 @pytest.mark.parametrize(("method", "want"), [("epsilon", 4e5), ("fixed_gt", 2 / 10 * 1e6 / 10), ("per_doc_gt", 2 / 1 * 1e6 / 10), ("chao1", 2 / 10 / 2 * 1e6), ("sgt", 2 / 10 * 1e6 / 10), ("chao2", 2 / 10 * 1e6), ("upos_gt", 2 / 10 * 1e6 / 10)])
 def test_imputed_per_million(spark, method, want):
     """n = 10, n1 = 2, n2 = 1; every word but one of the corpus is in the lexicon."""
     lexicon = spark.createDataFrame([("a", "NOUN", "a", 1, 1e5), ("b", "NOUN", "b", 1, 1e5), ("c", "NOUN", "c", 8, 8e5)], "token string, upos string, lemma string, freq long, freq_u double")
-    matched = lexical.match_lexicon(sentence(spark, ["c", "c", "new"], [0, 1, 1], ["NOUN"] * 3, ["root", "dep", "dep"]), lexicon)
+    matched = lexical.match_lexicon(sentence(spark, ["C", "c", "new"], [0, 1, 1], ["NOUN"] * 3, ["root", "dep", "dep"]), lexicon)
     out = {r.lower_token: r.lex_freq_u_imputed for r in lexical.impute(matched, lexicon, "lex_freq_u", method, mode="u").collect()}
     assert out == pytest.approx({"c": 8e5, "new": want})
     if method == "epsilon":
