@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.annotate import annotate
-from glossweave.operators import counts, lexical, syntax, trees
+from glossweave.operators import cohesion, counts, lexical, morphology, surprisal, syntax, trees
 from glossweave.scratch import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,8 +33,11 @@ def on_stored(operator: Callable[[DataFrame], DataFrame], *columns: str) -> Quer
 
 def norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A lexicon of another corpus than the one that is looked up: the passages of ``benchmark``."""
-    passages = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return lexical.build_lexicon(annotate(passages))
+    return lexical.build_lexicon(annotate(passages(spark, sf_dir)))
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
 
 
 def _imputed(method: str, mode: str) -> Query:
@@ -83,4 +86,53 @@ QUERIES: dict[str, Query] = {
     "tunit_features": on_tokens(syntax.tunit_features),
     "split_clauses": on_tokens(lambda t: syntax.split_clauses(t).select("doc_id", "sentence_id", "term_id", "is_clause_head", "clause_id")),
 }
-SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL}
+
+
+def rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    """Doubles to so many places, and no negative zero: beyond them the order of summation decides."""
+    return df.select([(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+_PLACE = ("doc_id", "sentence_id", "term_id")
+_COHESION = (*_PLACE, "token", "lemma", "upos", "compte")
+
+
+def _words(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return on_stored(lambda t: rounded(operator(t.where("compte"))), *_COHESION)
+
+
+def _two(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    """For an operator of the tokens of documents and those of another corpus, whose norms it uses."""
+    return lambda spark, sf_dir: rounded(operator(stored(tokens(spark, sf_dir)), stored(annotate(passages(spark, sf_dir)))))
+
+
+def _pos(t: DataFrame, n: DataFrame) -> DataFrame:
+    return surprisal.pos_surprisal(t, surprisal.ngram_model(surprisal.pos_ngrams(n)), backoff=0.4)
+
+
+def _deprel(t: DataFrame, n: DataFrame) -> DataFrame:
+    return surprisal.deprel_surprisal(t, surprisal.arc_model(n, "dep_pos"))
+
+
+_SCORES = lambda name: (f"{name}_surprisal", f"{name}_entropy", f"{name}_entropy_reduction")
+QUERIES |= {
+    "document_match": _words(lambda t: cohesion.document_match(t).select(*_PLACE, "normalized_match")),
+    "previous_sentence_match": _words(lambda t: cohesion.previous_sentence_match(t, "token", 5).select(*_PLACE, "token_prev5_prop")),
+    "argument_overlap": _words(cohesion.argument_overlap),
+    "sentence_cosine": _words(cohesion.sentence_similarity),
+    "sentence_jaccard": _words(lambda t: cohesion.sentence_similarity(t, "jaccard")),
+    "lexical_cohesion": on_stored(lambda t: rounded(cohesion.lexical_cohesion(t)), *_COHESION),
+    "pos_ngrams": lambda spark, sf_dir: surprisal.pos_ngrams(annotate(passages(spark, sf_dir))),
+    "pos_model": lambda spark, sf_dir: rounded(surprisal.ngram_model(stored(surprisal.pos_ngrams(annotate(passages(spark, sf_dir))))).trigram),
+    "pos_surprisal_token": _two(lambda t, n: _pos(t, n).select(*_PLACE, *_SCORES("pos"))),
+    "pos_surprisal_sent": _two(lambda t, n: surprisal.summary(_pos(t, n), "pos", "doc_id", "sentence_id")),
+    "pos_surprisal_doc": _two(lambda t, n: surprisal.summary(_pos(t, n), "pos", "doc_id")),
+    "deprel_surprisal_token": _two(lambda t, n: _deprel(t, n).select(*_PLACE, *_SCORES("deprel"))),
+    "deprel_surprisal": _two(lambda t, n: surprisal.summary(_deprel(t, n), "deprel", "doc_id")),
+    "attach_surprisal": _two(lambda t, n: surprisal.summary(surprisal.attach_surprisal(t, surprisal.arc_model(n, "dep_rel")), "attach", "doc_id")),
+    "feats_entropy": on_tokens(lambda t: rounded(morphology.entropy_bits(t, "feats", "doc_id"))),
+    "inflectional_profile": on_stored(lambda t: rounded(morphology.inflectional_profile(t, morphology.QUERY_AUX))),
+    "morpheme_norms": _two(lambda t, n: morphology.morpheme_norms(t, morphology.norms_of(lexical.build_lexicon(n)))),
+    "oov_edit_features": _two(lambda t, n: morphology.oov_edit_features(t, lexical.build_lexicon(n))),
+}
+SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL, **cohesion.SQL, **surprisal.SQL, **morphology.SQL}
