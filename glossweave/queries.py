@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.annotate import annotate
-from glossweave.operators import cohesion, counts, lexical, morphology, surprisal, syntax, trees
+from glossweave.annotate import PROLOGUE, annotate
+from glossweave.operators import burstiness, cleanup, cohesion, counts, embeddings, evaluation, lexical, morphology, mwe, responses, similarity, surprisal, syntax, trees
 from glossweave.scratch import stored
+from glossweave.sources import conllu, corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -135,4 +136,96 @@ QUERIES |= {
     "morpheme_norms": _two(lambda t, n: morphology.morpheme_norms(t, morphology.norms_of(lexical.build_lexicon(n)))),
     "oov_edit_features": _two(lambda t, n: morphology.oov_edit_features(t, lexical.build_lexicon(n))),
 }
-SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL, **cohesion.SQL, **surprisal.SQL, **morphology.SQL}
+
+
+def _burst(t: DataFrame) -> DataFrame:
+    return burstiness.burstiness_features(t, burstiness.word_norms(t, "lower_token"), "lower_token")
+
+
+def _connectives(spark: SparkSession, t: DataFrame) -> DataFrame:
+    lexicon = spark.createDataFrame(mwe.ENTRIES, "forme_lower string, relation_group string, cat string")
+    return mwe.match_sequences(t, lexicon)
+
+
+def _density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = stored(tokens(spark, sf_dir).select("doc_id", "sentence_id", "term_id", "token_id", "lower_token", "upos", "compte"))
+    return mwe.connective_density(t, _connectives(spark, t), mwe.GROUPS, mwe.CATS)
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id")
+    return x.selectExpr("*", "1 + doc_id % 5 AS grade", "1 + (doc_id * 7 + quality) % 5 AS guess", "doc_id % 97 AS a", "n_chars % 97 AS b")
+
+
+def _kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _labelled(spark, sf_dir)
+    rater = lambda e: x.selectExpr("doc_id AS passage_id", "concat('code', doc_id % 3) AS code", f"{e} AS applies")
+    return evaluation.kappa(rater("quality = 1"), rater("toxic = 0"))
+
+
+def on_documents(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: operator(read(spark, sf_dir, "documents"))
+
+
+def _coded(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", responses.parse_code_response(F.expr(responses.CODE_RESPONSE)).alias("x")).select("doc_id", "x.*")
+
+
+def _listed(docs: DataFrame) -> DataFrame:
+    items = docs.select("doc_id", responses.parse_numbered_list(F.expr(responses.RESPONSE)).alias("x"))
+    return items.select("doc_id", *[F.get("x", F.lit(k)).alias(f"item_{k + 1}") for k in range(4)])
+
+
+_CUT = ("doc_id", "sentence_id", "term_id")
+QUERIES |= {
+    "burstiness_beta": on_stored(lambda t: rounded(burstiness.burstiness_beta(t, "lower_token").drop("beta_se"), 6), *_CUT, "lower_token"),
+    "adaptation_score": on_stored(lambda t: rounded(burstiness.adaptation_score(t, "lower_token"), 6), *_CUT, "lower_token"),
+    "burstiness_features": on_stored(lambda t: rounded(_burst(t), 6), *_CUT, "lower_token", "upos"),
+    "burstiness_within_doc": on_stored(lambda t: rounded(burstiness.burstiness_within_doc(t, "lower_token"), 6), *_CUT, "lower_token", "upos"),
+    "match_sequences": lambda spark, sf_dir: _connectives(spark, tokens(spark, sf_dir)),
+    "connective_density": lambda spark, sf_dir: rounded(_density(spark, sf_dir)),
+    "kappa": lambda spark, sf_dir: rounded(_kappa(spark, sf_dir)),
+    "weighted_kappa": lambda spark, sf_dir: rounded(evaluation.weighted_kappa(_labelled(spark, sf_dir), "grade", "guess")),
+    "compare_groups": lambda spark, sf_dir: rounded(evaluation.compare_groups(_labelled(spark, sf_dir).withColumn("g", F.concat(F.lit("q"), "quality")), "g", "q1", "q0", ["n_chars", "grade"]).select("feature", "d")),
+    "auc_rank": lambda spark, sf_dir: rounded(evaluation.auc(_labelled(spark, sf_dir), "quality", "n_chars")),
+    "folds": on_documents(lambda d: evaluation.folds(d, "doc_id", "source").select("doc_id", "fold")),
+    "rank_biserial": lambda spark, sf_dir: rounded(evaluation.rank_biserial(_labelled(spark, sf_dir), "a", "b")),
+    "numbered_list_parse": on_documents(_listed),
+    "code_response_parse": on_documents(_coded),
+    "template_fill": on_documents(lambda d: d.select("doc_id", responses.fill_template("Document {doc_id} ({lang}) from {source}: {doc_id}", d.columns).alias("prompt"))),
+    **{f"words_from_pieces_{m}": on_tokens(lambda t, m=m: responses.aggregate_to_words(responses.pieces_of(t), list(_CUT), m)) for m in responses.ENTROPY_MODES},
+    "post_process": on_tokens(lambda t: cleanup.post_process(cleanup.raw_tokens(t)).select(*_CUT, "vrai_token_id", "compte", "upos", "token", "lower_token")),
+    "drop_range_parts": on_tokens(lambda t: cleanup.drop_range_parts(cleanup.raw_tokens(t)).select(*_CUT, "token_id")),
+    "segment_sentences": on_documents(cleanup.segment_sentences),
+    "clean_text": on_documents(lambda d: d.select("doc_id", F.md5(corpus.clean_text(F.col("text")).cast("binary")).alias("cleaned"), F.length(corpus.clean_text(F.col("text"))).alias("n"))),
+    "split_sentences": on_documents(corpus.sentence_table),
+    "count_words": on_documents(lambda d: d.select("doc_id", corpus.count_words(F.col("text")).alias("n_words"))),
+    "whitespace_tokens": on_documents(lambda d: corpus.whitespace_tokens(corpus.sentence_table(d))),
+    "conllu_round_trip": on_tokens(lambda t: conllu.parse_conllu(conllu.to_conllu(t).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sentence_id", "block"))), lambda x: x.block), "").alias("block"))).select("doc_id", "sentence_id", "token_id", "token", "lemma", "upos", "feats", "head_token_id", "dep_rel")),
+}
+
+
+def on_vectors(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    """The vectors of a label stand for a document's sentences."""
+    return lambda spark, sf_dir: rounded(operator(read(spark, sf_dir, "embeddings").select(F.col("label").alias("doc_id"), F.col("vec_id").alias("sentence_id"), "embedding")))
+
+
+def _encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.encode(corpus.sentence_table(read(spark, sf_dir, "documents")), embeddings.hash_embedder())
+
+
+_TREE = ("doc_id", "sentence_id", "term_id", "token_id", "head_token_id", "upos", "dep_rel", "token")
+QUERIES |= {
+    "document_centroids": on_vectors(lambda v: embeddings.document_centroids(v).select("doc_id", F.posexplode("embedding").alias("place", "x"))),
+    "sequential_similarity": on_vectors(embeddings.sequential_similarity),
+    "embedding_coherence": lambda spark, sf_dir: embeddings.embedding_coherence(_encoded(spark, sf_dir)),
+    "encode_sentences": _encoded,
+    "ted_adjacent": on_stored(similarity.sentence_pairs, *_TREE),
+    "structure_search": on_stored(lambda t: similarity.find_by_structure(t, 25, prototype="svo", label="upos"), *_TREE),
+    "prototype_distances": on_stored(lambda t: similarity.prototype_distances(t, "sv"), *_TREE),
+}
+_MORE = {
+    **{f"words_from_pieces_{m}": responses.words_sql(PROLOGUE, m) for m in responses.ENTROPY_MODES},
+    "conllu_round_trip": PROLOGUE + " SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY sentence_id))::INT AS sentence_id, token_id, token, lemma, upos, feats, head_token_id, dep_rel FROM tokens",
+}
+SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL, **cohesion.SQL, **surprisal.SQL, **morphology.SQL, **burstiness.SQL, **mwe.SQL, **evaluation.SQL, **responses.SQL, **cleanup.SQL, **corpus.SQL, **embeddings.SQL, **_MORE}
