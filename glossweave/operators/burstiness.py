@@ -106,10 +106,11 @@ def adaptation_score(tokens: DataFrame, token: str = "token", min_docs: int = 10
     words = words.withColumns({"mean_count": mean, "var_count": F.col("s2") / F.col("docs") - mean * mean})
     wide = F.col("var_count") > F.col("mean_count")
     words = words.withColumns({"nb_r": F.when(wide, F.col("mean_count") * F.col("mean_count") / (F.col("var_count") - F.col("mean_count"))), "nb_p": F.when(wide, F.col("mean_count") / F.col("var_count"))})
-    none = F.pow(1 - F.col("nb_p"), F.col("nb_r"))
+    # both probabilities are small, so neither is taken as a difference from 1
+    log_none = F.col("nb_r") * F.log1p(-F.col("nb_p"))
     known = wide & (F.col("n_docs") >= min_docs)
-    words = words.withColumns({"p_x1": F.when(known, 1 - none)})
-    words = words.withColumns({"p_x2_given_x1": F.try_divide(F.when(known, 1 - none * (1 + F.col("nb_r") * F.col("nb_p"))), F.col("p_x1"))})
+    words = words.withColumns({"p_x1": F.when(known, -F.expm1(log_none))})
+    words = words.withColumns({"p_x2_given_x1": F.try_divide(F.when(known, F.col("p_x1") - F.col("nb_r") * F.col("nb_p") * F.exp(log_none)), F.col("p_x1"))})
     return words.select("word", "n_docs", "mean_count", "var_count", "nb_r", "nb_p", "p_x1", "p_x2_given_x1", F.try_divide("p_x2_given_x1", F.col("p_x1")).alias("adaptation"))
 
 
@@ -147,7 +148,8 @@ def burstiness_within_doc(tokens: DataFrame, token: str = "token", content: tupl
 _NORMS = """, docs AS (SELECT count(DISTINCT doc_id) AS d FROM tokens), cnt AS (SELECT lower_token AS word, doc_id, count(*) AS c FROM tokens GROUP BY ALL),
 m AS (SELECT word, count(*) AS n_docs, sum(c) / any_value(d) AS mean_count, sum(c * c) / any_value(d) - (sum(c) / any_value(d)) * (sum(c) / any_value(d)) AS var_count FROM cnt, docs GROUP BY word),
 nb AS (SELECT *, CASE WHEN var_count > mean_count THEN mean_count * mean_count / (var_count - mean_count) END AS nb_r, CASE WHEN var_count > mean_count THEN mean_count / var_count END AS nb_p FROM m),
-px AS (SELECT *, CASE WHEN n_docs >= 10 THEN 1 - pow(1 - nb_p, nb_r) END AS p_x1, CASE WHEN n_docs >= 10 THEN 1 - pow(1 - nb_p, nb_r) - nb_r * nb_p * pow(1 - nb_p, nb_r) END AS two FROM nb),
+ln AS (SELECT *, -2 * atanh(nb_p / (2 - nb_p)) * nb_r AS l FROM nb),
+px AS (SELECT *, CASE WHEN n_docs >= 10 THEN -2 * sinh(l / 2) * exp(l / 2) END AS p_x1, CASE WHEN n_docs >= 10 THEN -2 * sinh(l / 2) * exp(l / 2) - nb_r * nb_p * exp(l) END AS two FROM ln),
 adapt AS MATERIALIZED (SELECT *, two / nullif(p_x1, 0) AS p_x2_given_x1, two / nullif(p_x1, 0) / nullif(p_x1, 0) AS adaptation FROM px),
 spots AS MATERIALIZED (SELECT lower_token AS word, row_number() OVER (ORDER BY doc_id, sentence_id, term_id) AS position FROM tokens),
 gaps AS MATERIALIZED (SELECT word, gap::DOUBLE AS gap, count(*) AS n FROM (SELECT word, position - lag(position) OVER (PARTITION BY word ORDER BY position) AS gap FROM spots) WHERE gap IS NOT NULL GROUP BY ALL),

@@ -269,7 +269,7 @@ def _mattr_sql(name: str, where: str, suffix: str) -> str:
     # window by window: the different words of each list of fifty
     return f""", {name}_l AS (SELECT doc_id, list(token ORDER BY sentence_id, term_id) AS l FROM tokens WHERE {where} GROUP BY doc_id),
 {name}_w AS (SELECT doc_id, list_slice(l, i, i + least(len(l), 50) - 1) AS s FROM {name}_l, unnest(range(1, len(l) - least(len(l), 50) + 2)) t(i)),
-{name} AS (SELECT doc_id, avg(len(list_distinct(s)) / len(s)) AS MATTR{suffix} FROM {name}_w GROUP BY doc_id)"""
+{name} AS (SELECT doc_id, sum(len(list_distinct(s))) / sum(len(s)) AS MATTR{suffix} FROM {name}_w GROUP BY doc_id)"""
 
 
 _C = f"compte AND upos IN {tuple(DIVERSITY_CONTENT)}"

@@ -119,7 +119,7 @@ _BYTES = "translate({}, 'àáâãäåæçèéêëìíîïñòóôõöøùúûü
 _R = lambda e, n: f"round({e}, 9) AS {n}"
 SQL = {
     "feats_entropy": PROLOGUE + ", c AS (SELECT doc_id, feats, count(*) AS n FROM tokens WHERE feats IS NOT NULL GROUP BY ALL), p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM c), d AS (SELECT DISTINCT doc_id FROM tokens)"
-    " SELECT d.doc_id, round(greatest(-sum(p * log2(p)), 0), 9) + 0.0::DOUBLE AS entropy FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id",
+    " SELECT d.doc_id, CASE WHEN count(p) > 0 THEN round(greatest(-sum(p * log2(p)), 0), 9) + 0.0::DOUBLE END AS entropy FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id",
     "inflectional_profile": PROLOGUE + f""", aux AS (SELECT DISTINCT doc_id, sentence_id, head FROM tokens WHERE dep_rel IN ('aux', 'aux:tense', 'aux:pass') AND lemma IN {sql_list(QUERY_AUX)}),
 t AS (SELECT t.*, CASE WHEN coalesce(feats, '') = '' THEN 0 ELSE len(string_split(feats, '|')) END AS n, contains(feats, 'VerbForm=Part') AS part, a.head IS NOT NULL AS aux FROM tokens t LEFT JOIN aux a ON a.doc_id = t.doc_id AND a.sentence_id = t.sentence_id AND a.head = t.term_id WHERE compte),
 f AS (SELECT doc_id, avg(n) AS morph_feats_per_word FROM t WHERE n > 0 GROUP BY doc_id),

@@ -89,9 +89,12 @@ QUERIES: dict[str, Query] = {
 }
 
 
+HALF = 3e-13
+
+
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
-    """Doubles to so many places, and no negative zero: beyond them the order of summation decides."""
-    return df.select([(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles to so many places, and no negative zero: beyond them the order of summation decides; a bit more decides halves."""
+    return df.select([(F.round(F.col(c) + HALF, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 _PLACE = ("doc_id", "sentence_id", "term_id")
@@ -229,3 +232,4 @@ _MORE = {
     "conllu_round_trip": PROLOGUE + " SELECT doc_id, (dense_rank() OVER (PARTITION BY doc_id ORDER BY sentence_id))::INT AS sentence_id, token_id, token, lemma, upos, feats, head_token_id, dep_rel FROM tokens",
 }
 SQL: dict[str, str] = {**counts.SQL, **lexical.SQL, **trees.SQL, **syntax.SQL, **cohesion.SQL, **surprisal.SQL, **morphology.SQL, **burstiness.SQL, **mwe.SQL, **evaluation.SQL, **responses.SQL, **cleanup.SQL, **corpus.SQL, **embeddings.SQL, **_MORE}
+SQL = {name: sql.replace("round(", f"round({HALF}::DOUBLE + ") for name, sql in SQL.items()}
