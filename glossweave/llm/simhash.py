@@ -1,20 +1,21 @@
-"""Operator 2: near-duplicate documents by SimHash and pigeonhole blocks.
+"""Operator 2: near-duplicate documents by SimHash and the pigeonhole principle.
 
 A document's fingerprint has 256 bits: bit j is the sign of the sum, over the distinct lower-cased words, of a random
 +1 or -1 that the word has for j (Charikar 2002). The share of bits in which two fingerprints differ estimates the
-angle between the word sets. The fingerprint is cut into 64 blocks of 4 bits; each of ``tables`` keys joins
-``blocks`` of them (Manku et al. 2007), fingerprints that share a key meet, and pairs that differ in at most
-``radius`` bits are neighbours. Documents of one connected component of the neighbour graph form a group.
-
-Twelve disjoint keys of five blocks make a partition of the fingerprint (four blocks are left over), so by the
-pigeonhole principle two fingerprints that differ in at most ``SURE`` = 11 bits share one of them, without fail. Copies
-with a word in 25 replaced differ in 9 % of the bits, 23, for which no partition has keys that are both selective and
-sure to meet, as there are for 3 bits of 64. So ``tables`` keys are taken of several random partitions: pairs at a share
-d of the bits meet with probability 1 - (1 - (1 - d)**(4 * blocks)) ** tables at least, 0.9999 at 9 %, 0.98 at 13 %, and
-0.77 at the radius itself, 17 %; what meets by none of its keys, nor by way of other copies, is missed.
-
-At the default 20-bit keys, N documents bring about N**2 / 2**20 chance pairs a table, compared in numpy at some
-nanoseconds each; ``blocks`` and ``tables`` grow by one and a half when N grows sixteenfold beyond a hundred million.
+angle between the word sets. Fingerprints that differ in at most ``radius`` bits are neighbours, and the documents of
+one connected component of the neighbour graph form a group. No neighbours are missed.
+
+The fingerprint is cut into eight words of 32 bits. Were each word of a pair to differ in more bits than it may, at the
+default radius 5 in five words and 4 in three, the pair would differ in 5 * 6 + 3 * 5 = 45 bits or more; so by the
+pigeonhole principle neighbours have a word that differs in no more than that. A word is cut into three parts of 10 or
+11 bits, and by the same principle one of them differs in at most one bit, or, where the word may differ in 4, the first
+part not at all (Manku et al. 2007, with a bit flipped in place of longer tables). Fingerprints of one bucket, a value of a
+part, are compared in numpy with all of the buckets that are so close: first in the word, then in all bits.
+
+Distinct fingerprints are dealt into blocks of about ``BLOCK``, and each pair of blocks is a task; where there are few
+blocks, parts of a pair are tasks of their own. A task returns the components of what it found, not all pairs, and
+where copies crowd the buckets it searches breadth-first and leaves out what is known to be one component. The
+comparisons grow with the square of the number of distinct fingerprints.
 """
 
 from __future__ import annotations
@@ -35,12 +36,17 @@ BITS = 256
 FEATURE_BITS = 18
 #: Differing bits of 256 at which two documents are still near copies: a cosine of 0.86 between their word sets.
 RADIUS = 44
-TABLES = 64
-BLOCKS = 5
-#: Rows of the block join that one task holds in memory, as a target for the number of partitions.
-ROWS_A_TASK = 500_000
-#: Differing bits up to which fingerprints are sure to share a key: one less than the disjoint keys of a partition.
-SURE = BITS // 4 // BLOCKS - 1
+WORD_BITS = 32
+#: Bits of a part that are looked at, at most: its buckets have a table.
+WIDEST = 12
+#: Fingerprints of one block, as a target; a task holds two blocks.
+BLOCK = 1 << 19
+#: Tasks that the search is cut into, as far as there are parts.
+TASKS = 12
+#: Pairs that are compared at once.
+CHUNK = 1 << 17
+#: Neighbours found in a bucket from which on components take the place of pairs.
+CROWD = 1 << 18
 
 _SIGNS: list[np.ndarray] = []
 
@@ -87,35 +93,9 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lean(_fingerprint_batches), "doc_id long, th long, fp binary")
 
 
-def key_blocks(tables: int, blocks: int) -> np.ndarray:
-    """The blocks of 4 bits that each table's key joins: the keys of as many random partitions as it takes, the last one in part."""
-    rng = np.random.Generator(np.random.PCG64(20))
-    keys = BITS // 4 // blocks
-    partitions = [rng.permutation(BITS // 4)[: keys * blocks].reshape(keys, blocks) for _ in range(-(-tables // keys))]
-    return np.concatenate(partitions)[:tables]
-
-
-def _keys(tables: int, blocks: int):
-    chosen = key_blocks(tables, blocks)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 4096):
-                batch = whole.slice(at, 4096)
-                raw = b"".join(batch.column(0).to_pylist())
-                four = np.frombuffer(raw, np.uint8).reshape(len(batch), BITS // 8)
-                four = np.stack([four >> 4, four & 15], axis=2).reshape(len(batch), BITS // 4).astype(np.int64)
-                for t, picked in enumerate(chosen):
-                    key = np.full(len(batch), t, np.int64)
-                    for p in picked:
-                        key = key << 4 | four[:, p]
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).cast(pa.binary())], names=["key", "fp"])
-
-    return run
-
-
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+    ones = np.bitwise_count(a ^ b)
+    return sum(ones[..., w].astype(np.int16) for w in range(BITS // 64))
 
 
 def star_edges(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
@@ -137,50 +117,159 @@ def star_edges(fp: np.ndarray, radius: int) -> Iterator[tuple[int, int]]:
                 yield x, root
 
 
-def _neighbours(radius: int):
+def search_parts(radius: int) -> list[tuple[int, int, int, int, int]]:
+    """(word, bits in which it may differ, first bit of a part of it, bits of the part, bits in which the part may differ).
+
+    Neighbours meet the bounds of some word and of some part of it, as the bounds plus one sum to more than what is allowed.
+    """
+    out, words_ = [], BITS // WORD_BITS
+    for word in range(words_):
+        units = (radius + 1 + words_ - 1 - word) // words_
+        parts = -(-units // 2)
+        borders = [WORD_BITS * p // parts for p in range(parts + 1)] if parts else []
+        for p in range(parts):
+            out.append((word, units - 1, borders[p], min(borders[p + 1] - borders[p], WIDEST), int(p > 0 or units % 2 == 0)))
+    return out
+
+
+def word_values(fp: np.ndarray, word: int) -> np.ndarray:
+    return np.ascontiguousarray(fp.view(np.uint32).reshape(len(fp), BITS // WORD_BITS)[:, word])
+
+
+def joined(root: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of each one's component, once edges (u, v) join those of ``root``."""
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            return root
+        u, v, a, b = u[apart], v[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = root[root]
+            if np.array_equal(up, root):
+                break
+            root = up
+
+
+def components_of(fp: np.ndarray, split: int, parts: list[tuple[int, int, int, int, int]], radius: int) -> np.ndarray:
+    """The least member of each fingerprint's component, by the neighbours that parts find between the first ``split`` and the rest.
+
+    Where ``split`` is all of them, the neighbours among them are found.
+    """
+    root, own = np.arange(len(fp)), split == len(fp)
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    pending = 0
+
+    def add(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal pending
+        us.append(u)
+        vs.append(v)
+        pending += len(u)
+        if pending > 200_000:
+            settle()
+
+    def settle() -> None:
+        nonlocal root, pending
+        if pending:
+            root = joined(root, np.concatenate(us), np.concatenate(vs))
+            us.clear()
+            vs.clear()
+            pending = 0
+
+    xor, bits = np.empty(CHUNK, np.uint32), np.empty(CHUNK, np.uint8)
+
+    def compare(x: np.ndarray, y: np.ndarray, x_word: np.ndarray, y_word: np.ndarray, most: int) -> None:
+        seen = 0
+        for c in range(0, len(y), CHUNK):
+            wide = min(CHUNK, len(y) - c)
+            step = max(1, CHUNK // wide)
+            for a in range(0, len(x), step):
+                tall = min(step, len(x) - a)
+                n = tall * wide
+                np.bitwise_xor(x_word[a : a + tall, None], y_word[None, c : c + wide], out=xor[:n].reshape(tall, wide))
+                near = np.flatnonzero(np.bitwise_count(xor[:n], out=bits[:n]) <= most)
+                if not len(near):
+                    continue
+                down = near // wide
+                u, v = x[down + a], y[near - down * wide + c]
+                close = (distances(fp[u], fp[v]) <= radius) & (u != v)
+                if close.any():
+                    add(u[close], v[close])
+                seen += np.count_nonzero(close)
+                if seen > CROWD:
+                    settle()
+                    both = np.union1d(x, y)
+                    found, size = np.unique(root[both], return_counts=True)
+                    of_x, of_y = root[x] == found[size.argmax()], root[y] == found[size.argmax()]
+                    if 16 * np.count_nonzero(of_x) * np.count_nonzero(of_y) < len(x) * len(y):
+                        add(*both[np.array([*star_edges(fp[both], radius)])].T)
+                    else:
+                        compare(x[~of_x], y, x_word[~of_x], y_word, most)
+                        compare(x[of_x], y[~of_y], x_word[of_x], y_word[~of_y], most)
+                    return
+
+    for word, most, first, width, slack in parts:
+        value = word_values(fp, word)
+        part = value >> np.uint32(first) & np.uint32((1 << width) - 1)
+        left = np.argsort(part[:split], kind="stable")
+        right = left if own else split + np.argsort(part[split:], kind="stable")
+        l_begin, begin = (np.searchsorted(part[side], np.arange((1 << width) + 1)).tolist() for side in (left, right))
+        l_word, r_word = value[left], value[right]
+        flips = [0] + [1 << b for b in range(width) if slack]
+        for bucket in range(1 << width):
+            # of two buckets of the same fingerprints, the lesser is compared with the other
+            runs = [slice(begin[b], begin[b + 1]) for b in (bucket ^ f for f in flips) if begin[b] < begin[b + 1] and (b >= bucket or not own)]
+            here = slice(l_begin[bucket], l_begin[bucket + 1])
+            if runs and here.start < here.stop:
+                compare(left[here], np.concatenate([right[r] for r in runs]), l_word[here], np.concatenate([r_word[r] for r in runs]), most)
+        settle()
+    return root
+
+
+def _neighbours(radius: int, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, raws = [], []
+        sides, raws, group = [], [], 0
         for batch in batches:
-            keys.append(batch.column(0).to_numpy(zero_copy_only=False))
-            raws.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(len(batch), BITS // 64))
-        if not keys:
+            if len(batch):
+                group = batch.column(0)[0].as_py() % groups
+                sides.append(batch.column(1).to_numpy(zero_copy_only=False))
+                raws.append(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(len(batch), BITS // 64))
+        if not sides:
+            return
+        side, fp = np.concatenate(sides), np.concatenate(raws)
+        raws.clear()
+        split = int((side == 0).sum())
+        if not split:
             return
-        key, fp = np.concatenate(keys), np.concatenate(raws)
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order]
-        border = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(border)
-        pairs: list[np.ndarray] = []
-        small = np.repeat(size, size) <= 8
-        for step in range(1, 8):
-            at = np.flatnonzero((key[step:] == key[:-step]) & small[step:])
-            at = at[distances(fp[at], fp[at + step]) <= radius]
-            pairs.append(np.stack([at, at + step], axis=1))
-        for a, n in zip(border[:-1][size > 8], size[size > 8]):
-            block = fp[a : a + n]
-            block_order = np.lexsort(block.T)
-            found = [*star_edges(block[block_order], radius)]
-            if found:
-                pairs.append(block_order[np.array(found)] + a)
-        both = np.concatenate(pairs)
-        if len(both):
-            both = np.concatenate([fp[both[:, 0]], fp[both[:, 1]]], axis=1)
-        for at in range(0, len(both), 50_000):
-            part = np.ascontiguousarray(both[at : at + 50_000])
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in part[:, :4]], pa.binary()), pa.array([x.tobytes() for x in part[:, 4:]], pa.binary())], names=["u", "v"])
+        fp = np.ascontiguousarray(fp[np.argsort(side, kind="stable")])
+        root = components_of(fp, split, search_parts(radius)[group::groups], radius)
+        member = np.flatnonzero(root != np.arange(len(fp)))
+        for at in range(0, len(member), 50_000):
+            u = member[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in fp[some]], pa.binary()) for some in (u, root[u])], names=["u", "v"])
 
     return run
 
 
-def neighbour_edges(fps: DataFrame, radius: int = RADIUS, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints that share a key; their components are those of all neighbours that meet."""
+def neighbour_edges(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints; their components are those of all neighbours, without exception.
+
+    Task (low, high, group) has the fingerprints of two blocks, or one, and looks at every ``groups``-th part. A task
+    whose second block is empty compares the first one with itself, which adds nothing wrong.
+    """
     nodes = stored(fps.where("fp is not null").select("fp").distinct())
-    parts = max(1, -(-nodes.count() * tables // ROWS_A_TASK))
-    keyed = nodes.mapInArrow(lean(_keys(tables, blocks)), "key long, fp binary").repartition(parts, "key")
-    return keyed.mapInArrow(lean(_neighbours(radius)), "u binary, v binary")
+    blocks = max(1, -(-nodes.count() // block))
+    pairs = [(low, high) for low in range(blocks) for high in range(low, blocks)]
+    groups = min(len(search_parts(radius)), max(1, -(-TASKS // len(pairs))))
+    of = [[(t * groups + g, int(b == high != low)) for t, (low, high) in enumerate(pairs) if b in (low, high) for g in range(groups)] for b in range(blocks)]
+    tasks = F.array(*(F.array(*(F.struct(F.lit(t).alias("task"), F.lit(side).alias("side")) for t, side in each)) for each in of))
+    dealt = nodes.select(F.explode(tasks[F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")]).alias("to"), "fp").select("to.task", "to.side", "fp")
+    return dealt.repartitionById(len(pairs) * groups, "task").mapInArrow(lean(_neighbours(radius, groups)), "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Each row of ``docs`` (doc_id, text, any others) as (doc_id, th, group_id, group_size, kept).
 
     group_id is the least doc_id of the group; the row that is kept is the one of the least doc_id, of the least text
@@ -190,7 +279,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
     in the search, and its rows are counted before they are brought together. An empty table gives an empty result. Other columns, whatever their names, have no effect.
     """
     fps = stored(fingerprint_table(docs))
-    nodes = connected_components(stored(neighbour_edges(fps, radius, tables, blocks)))
+    nodes = connected_components(stored(neighbour_edges(fps, radius)))
     grouped = fps.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left").select("doc_id", "th", F.coalesce("root", "fp").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("h")))
     groups = grouped.where("root is not null").groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
@@ -201,7 +290,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES,
     return some.select("doc_id", "th", F.col("first.id").alias("group_id"), "group_size", kept.alias("kept")).unionByName(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, whole, without those that ``near_duplicates`` doesn't keep.
 
     Rows that agree in doc_id and text can't be told apart; all but one of them go, whichever. Null and empty texts stay,
@@ -210,7 +299,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, tables: int = TA
     The verdicts grow with the corpus, so they are never broadcast: at every size both sides are shuffled by doc_id and
     text hash and merged, which a hot key can't overload, as it is split.
     """
-    verdicts = stored(near_duplicates(docs, radius, tables, blocks))
+    verdicts = stored(near_duplicates(docs, radius))
     keys = verdicts.groupBy("doc_id", "th").agg(F.count_if("kept").alias("keep"), F.count(F.lit(1)).alias("rows"))
     fate = stored(keys.where("keep < rows"))
     th, ident, hashed = (fresh(docs, x) for x in ("gw_th", "gw_id", "gw_hash"))

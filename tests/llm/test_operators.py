@@ -199,6 +199,69 @@ def test_simhash_repeated_rows(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(same).collect()) == [7, 8]
 
 
+def at_the_radius(seed):
+    """Pairs of texts whose fingerprints differ in about as many bits as near copies may, and each text's group by all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    texts = []
+    for k in range(200):
+        own = [f"w{k}x{i}" for i in range(100)]
+        texts += [" ".join(own), " ".join([f"v{k}x{i}" for i in range(rng.integers(9, 20))] + own[20:])]
+    fp = np.stack([np.frombuffer(x, np.uint64) for x in simhash.fingerprints(pa.array(texts))])
+    apart = simhash.distances(fp[:, None], fp[None])
+    assert (np.abs(apart[np.arange(0, 400, 2), np.arange(1, 400, 2)] - simhash.RADIUS) <= 4).sum() > 50
+    u, v = np.nonzero(apart <= simhash.RADIUS)
+    group = np.arange(len(texts))
+    for _ in range(len(texts)):
+        new = group.copy()
+        np.minimum.at(new, u, group[v])
+        if (new == group).all():
+            return texts, group.tolist()
+        group = new
+
+
+def test_op2_simhash_near_dedup_misses_no_neighbours(spark):
+    texts, group = at_the_radius(1)
+    got = simhash.near_duplicates(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.group_id for r in got.collect()} == dict(enumerate(group))
+
+
+def all_components(fp, radius):
+    u, v = np.nonzero(simhash.distances(fp[:, None], fp[None]) <= radius)
+    return simhash.joined(np.arange(len(fp)), u, v)
+
+
+@pytest.mark.parametrize("radius", [0, 1, 7, 20, 44, 70])
+def test_simhash_parts_against_all_pairs(radius, monkeypatch):
+    rng = np.random.default_rng(radius)
+    bits = (rng.random((60, 256)) < 0.5).repeat(10, axis=0) ^ (rng.random((600, 256)) < radius / 512 + 0.001)
+    bits = np.concatenate([bits, bits[:1].repeat(300, axis=0) ^ (rng.random((300, 256)) < radius / 1024 + 0.002)])
+    fp = rng.permutation(np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0))
+    want = all_components(fp, radius)
+    assert len(set(want.tolist())) < len(fp) or not radius
+    for crowd in (simhash.CROWD, 50):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        monkeypatch.setattr(simhash, "CHUNK", 1 << 9)
+        assert (simhash.components_of(fp, len(fp), simhash.search_parts(radius), radius) == want).all()
+        half = len(fp) // 2
+        root = np.arange(len(fp))
+        for a, b, split in ((0, half, half), (half, len(fp), len(fp) - half), (0, len(fp), half)):
+            root = simhash.joined(root, np.arange(a, b), a + simhash.components_of(fp[a:b], split, simhash.search_parts(radius), radius))
+        assert (root == want).all()
+
+
+def test_simhash_blocks(spark):
+    texts, group = at_the_radius(2)
+    fps = simhash.fingerprint_table(frame(spark, [(i, t, "a") for i, t in enumerate(texts)])).persist()
+    for block in (1000, 150, 40):
+        root = dict(components.connected_components(simhash.neighbour_edges(fps, block=block)).collect())
+        found = defaultdict(set)
+        for r in fps.collect():
+            found[root.get(r.fp, r.fp)].add(r.doc_id)
+        assert {i: min(s) for s in found.values() for i in s} == dict(enumerate(group))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3), (200, 201), (200, 202)]
     found = dict(components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect())
