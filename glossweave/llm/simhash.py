@@ -84,8 +84,12 @@ def fingerprints(texts: pa.Array) -> list[bytes | None]:
 
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (piece for whole in batches for piece in pieces(whole, 2)):
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(batch.column(2)), pa.binary())], names=["doc_id", "th", "fp"])
+    try:
+        for batch in (piece for whole in batches for piece in pieces(whole, 2)):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprints(batch.column(2)), pa.binary())], names=["doc_id", "th", "fp"])
+    finally:
+        # 64 MB that an idle worker would keep through the stages that follow
+        _SIGNS.clear()
 
 
 def fingerprint_table(docs: DataFrame) -> DataFrame:
@@ -180,7 +184,8 @@ def components_of(fp: np.ndarray, split: int, parts: list[tuple[int, int, int, i
 
     xor, bits = np.empty(CHUNK, np.uint32), np.empty(CHUNK, np.uint8)
 
-    def compare(x: np.ndarray, y: np.ndarray, x_word: np.ndarray, y_word: np.ndarray, most: int) -> None:
+    def compare(x: np.ndarray, y: np.ndarray, x_word: np.ndarray, y_word: np.ndarray, most: int) -> list[tuple[np.ndarray, ...]]:
+        """Finds the neighbours of x in y; or, where they are a crowd, returns what is left to compare."""
         seen = 0
         for c in range(0, len(y), CHUNK):
             wide = min(CHUNK, len(y) - c)
@@ -205,10 +210,9 @@ def components_of(fp: np.ndarray, split: int, parts: list[tuple[int, int, int, i
                     of_x, of_y = root[x] == found[size.argmax()], root[y] == found[size.argmax()]
                     if 16 * np.count_nonzero(of_x) * np.count_nonzero(of_y) < len(x) * len(y):
                         add(*both[np.array([*star_edges(fp[both], radius)])].T)
-                    else:
-                        compare(x[~of_x], y, x_word[~of_x], y_word, most)
-                        compare(x[of_x], y[~of_y], x_word[of_x], y_word[~of_y], most)
-                    return
+                        return []
+                    return [(x[~of_x], y, x_word[~of_x], y_word), (x[of_x], y[~of_y], x_word[of_x], y_word[~of_y])]
+        return []
 
     for word, most, first, width, slack in parts:
         value = word_values(fp, word)
@@ -223,7 +227,9 @@ def components_of(fp: np.ndarray, split: int, parts: list[tuple[int, int, int, i
             runs = [slice(begin[b], begin[b + 1]) for b in (bucket ^ f for f in flips) if begin[b] < begin[b + 1] and (b >= bucket or not own)]
             here = slice(l_begin[bucket], l_begin[bucket + 1])
             if runs and here.start < here.stop:
-                compare(left[here], np.concatenate([right[r] for r in runs]), l_word[here], np.concatenate([r_word[r] for r in runs]), most)
+                todo = [(left[here], np.concatenate([right[r] for r in runs]), l_word[here], np.concatenate([r_word[r] for r in runs]))]
+                while todo:
+                    todo += compare(*todo.pop(), most)
         settle()
     return root
 

@@ -227,6 +227,13 @@ def test_op2_simhash_near_dedup_misses_no_neighbours(spark):
     assert {r.doc_id: r.group_id for r in got.collect()} == dict(enumerate(group))
 
 
+def test_pipeline_near_dedup_leaves_no_neighbours(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    texts, group = at_the_radius(3)
+    out = corpus_pipeline.near_dedup(spark, frame(spark, [(i, t, "a") for i, t in enumerate(texts)]), "")
+    assert sorted(r.doc_id for r in out.collect()) == sorted(set(group))
+
+
 def all_components(fp, radius):
     u, v = np.nonzero(simhash.distances(fp[:, None], fp[None]) <= radius)
     return simhash.joined(np.arange(len(fp)), u, v)
